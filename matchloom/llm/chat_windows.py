@@ -52,47 +52,59 @@ def gathered(turns: DataFrame) -> DataFrame:
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """``conv_id, window, formatted, loss``: loss holds (start, length) spans in code points, escaped text included."""
-    zero = F.lit(0).cast("long")
-    convs = gathered(turns).withColumn(
-        "ends", F.aggregate("turns", F.array(zero), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["n"])))
-    ).withColumn("sys", F.array_position(F.transform("turns", lambda t: t["role"]), "system").cast("int"))
-    # the cost of the repeated part of a window that starts at (0-based) turn s: the system turn and the history
-    first = lambda s: F.greatest(  # noqa: E731  the first of the repeated turns just before s
-        F.when(F.col("sys") == 1, 1).otherwise(0),
-        F.size(F.filter("ends", lambda e: F.element_at(F.col("ends"), s + 1) - e > history)),
+    zero, none = F.lit(0).cast("long"), F.lit(-1)
+    # One fold over the turns chooses the windows. Its state: tokens before the turn; place and tokens of the first
+    # system turn so far; tokens before each of the latest turns that fit in the history; tokens that the open window
+    # repeats, and tokens before it; and the windows. Nothing looks back further, so a turn's cost is bounded.
+    state = F.struct(
+        F.lit(0).alias("i"),
+        zero.alias("at"),
+        none.alias("sys"),
+        zero.alias("sys_n"),
+        F.expr("cast(array() as array<bigint>)").alias("recent"),
+        zero.alias("base"),
+        zero.alias("since"),
+        F.expr("cast(array() as array<struct<s: int, past: int, sys: int>>)").alias("opened"),
     )
-    system_cost = F.when(F.col("sys") > 0, F.get("turns", F.col("sys") - 1)["n"]).otherwise(zero)
-    convs = convs.withColumn(
-        "past",
-        F.transform(F.sequence(F.lit(0), F.size("turns") - 1), lambda s: F.when(s == 0, 0).otherwise(F.least(first(s), s))),
-    ).withColumn(
-        "base",
-        F.transform(
-            "past",
-            lambda p, s: F.when(s == 0, zero).otherwise(
-                F.get("ends", s) - F.get("ends", p) + F.when((F.col("sys") > 0) & (F.col("sys") - 1 < p), system_cost).otherwise(zero)
-            ),
-        ),
-    )
-    # fold over the turns: the starts of windows so far; a turn opens a window when it no longer fits
-    convs = convs.withColumn(
-        "starts",
-        F.aggregate(
-            F.sequence(F.lit(0), F.size("turns") - 1),
-            F.array(F.lit(0)),
-            lambda a, i: F.when(
-                (i > 0) & (F.get("base", F.element_at(a, -1)) + F.get("ends", i + 1) - F.get("ends", F.element_at(a, -1)) > budget),
-                F.concat(a, F.array(i)),
-            ).otherwise(a),
-        ),
-    )
-    spans = convs.select("conv_id", "turns", "sys", "past", "starts", F.posexplode("starts").alias("window", "s")).withColumn(
-        "e", F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
+
+    def step(a: Column, t: Column) -> Column:
+        system = (a["sys"] == -1) & (t["role"] == "system")
+        opens = (a["i"] == 0) | (a["base"] + a["at"] + t["n"] - a["since"] > budget)
+        repeated = F.when(a["i"] == 0, zero).otherwise(
+            F.coalesce(a["at"] - F.get(a["recent"], F.lit(0)), zero)
+            + F.when((a["sys"] >= 0) & (a["sys"] < a["i"] - F.size(a["recent"])), a["sys_n"]).otherwise(zero)
+        )
+        recent = F.when(system & (a["i"] == 0), a["recent"]).otherwise(F.concat(a["recent"], F.array(a["at"])))
+        return F.struct(
+            (a["i"] + 1).alias("i"),
+            (a["at"] + t["n"]).alias("at"),
+            F.when(system, a["i"]).otherwise(a["sys"]).alias("sys"),
+            F.when(system, t["n"]).otherwise(a["sys_n"]).alias("sys_n"),
+            F.filter(recent, lambda x: a["at"] + t["n"] - x <= history).alias("recent"),
+            F.when(opens, repeated).otherwise(a["base"]).alias("base"),
+            F.when(opens, a["at"]).otherwise(a["since"]).alias("since"),
+            F.when(
+                opens,
+                F.concat(a["opened"], F.array(F.struct(a["i"].alias("s"), (a["i"] - F.size(a["recent"])).alias("past"), a["sys"].alias("sys")))),
+            )
+            .otherwise(a["opened"])
+            .alias("opened"),
+        )
+
+    convs = gathered(turns).withColumn("opened", F.aggregate("turns", state, step, lambda a: a["opened"]))
+    spans = convs.select("conv_id", "turns", "opened", F.posexplode("opened").alias("window", "w")).select(
+        "conv_id",
+        "turns",
+        "window",
+        "w.s",
+        "w.sys",
+        F.when(F.col("w.s") == 0, 0).otherwise(F.col("w.past")).alias("past"),
+        F.coalesce(F.get("opened", F.col("window") + 1)["s"], F.size("turns")).alias("e"),
     )
-    p = F.get("past", F.col("s"))
+    again = (F.col("sys") >= 0) & (F.col("sys") < F.col("past"))
     laid = F.concat(
-        F.when((F.col("s") > 0) & (F.col("sys") > 0) & (F.col("sys") - 1 < p), F.slice("turns", F.col("sys"), 1)).otherwise(F.slice("turns", 1, 0)),
-        F.slice("turns", p + 1, F.col("s") - p),
+        F.slice("turns", F.when(again, F.col("sys") + 1).otherwise(1), F.when(again, 1).otherwise(0)),
+        F.slice("turns", F.col("past") + 1, F.col("s") - F.col("past")),
     )
     show = lambda mark: lambda t: F.struct(
         F.concat(F.lit(mark), escape(t["role"]), F.lit(TEXT)).alias("head"),
