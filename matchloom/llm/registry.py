@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_windows, feistel_shard, secret_index, token_store
+from . import bpe_codec, chat_windows, feistel_shard, secret_index, simhash_ball, token_store
 
 QUERIES = {
     "op2_bpe_codec": bpe_codec.op2_bpe_codec,
     "op3_feistel_shard": feistel_shard.op3_feistel_shard,
+    "op4_simhash_ball": simhash_ball.op4_simhash_ball,
     "op5_token_store": token_store.op5_token_store,
     "op6_secret_index": secret_index.op6_secret_index,
     "op10_chat_windows": chat_windows.op10_chat_windows,
