@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_windows, feistel_shard, imatch, langid_crf, mixture, secret_index, simhash_ball, token_store
+from . import bpe_codec, chat_windows, feistel_shard, imatch, langid_crf, media_copies, mixture, secret_index, simhash_ball, token_store
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_index": secret_index.op6_secret_index,
     "op7_langid_crf": langid_crf.op7_langid_crf,
     "op8_mixture": mixture.op8_mixture,
+    "op9_media_copies": media_copies.op9_media_copies,
     "op10_chat_windows": chat_windows.op10_chat_windows,
 }
 

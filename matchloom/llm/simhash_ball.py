@@ -87,9 +87,13 @@ def links(nodes: DataFrame, bits: int, verify: int) -> DataFrame:
     tables_of = F.posexplode("prints").alias("t", "print")
     key = F.col("print") if bits == 64 else F.col("print").bitwiseAND(F.lit((1 << bits) - 1))
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(bits)])
-    emitted = nodes.select("node", tables_of).select("node", "t", F.explode(F.transform(masks, lambda m: key.bitwiseXOR(m))).alias("variant"))
-    order = F.expr("lag(node) over (partition by t, variant order by node)")
-    met = emitted.select("node", order.alias("before")).where("before is not null").distinct()
+    emitted = nodes.select("node", tables_of).select("node", "print", "t", F.explode(F.transform(masks, lambda m: key.bitwiseXOR(m))).alias("variant"))
+    # One print for each node: all that meet are near each other, and one link to the next of them will do. With more,
+    # those that meet in one table may be apart in others, and each has three chances.
+    back = ["lag(node)"] if verify <= 2 else ["lag(node)", "lag(node, 2)", "first(node)"]
+    backs = ", ".join(f"{f} over (partition by t, variant order by print, node)" for f in back)
+    met = emitted.select("node", F.expr(f"array_distinct(array({backs}))").alias("earlier")).select("node", F.explode("earlier").alias("before"))
+    met = met.where("before <> node").distinct()
     a = nodes.select(F.col("node").alias("node"), F.col("prints").alias("p"))
     b = nodes.select(F.col("node").alias("before"), F.col("prints").alias("q"))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
