@@ -7,7 +7,7 @@ the domains' Gram matrix G,
 
     r_i <- clip(r_i - w_i p_i . G^-1 (A r - T), 0, max_rate),    r_i = 1 at first,
 
-with G over the documents whose rates aren't at a bound.
+A step of that length never raises the misfit; a few longer ones are tried in the same pass and the best is taken.
 
 Each step aggregates one number for each domain over all documents (partial sums, then K values to the driver) and
 the rates are a fold over the steps' K-vectors, so no state of the documents is kept or moved between steps.
@@ -35,7 +35,8 @@ from ._common import drop_scratch, materialise, table
 BUCKETS = 1 << 14
 TRAIN_DOCS = 6_000
 LEAST_Z, LEAST_RATIO = 3.0, 3.0
-STEPS, CLOSE = 24, 1e-3
+STEPS, CLOSE = 12, 2e-3
+LENGTHS = (1.0, 4.0, 16.0)
 SMOOTHING = 0.5
 #: Shares of all tokens: of documents like those labelled toxic, and of the others by quality.
 TARGETS = {"high": 0.90, "low": 0.09, "toxic": 0.01}
@@ -52,14 +53,18 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
 
 
-def word_buckets(text: Column, buckets: int) -> Column:
-    """The distinct buckets of a text's words (runs of letters, in lower case), of its runs of other signs, and of the
-    tenth in which the share of distinct words lies."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    signs = F.array_distinct(F.filter(F.split(text, r"[\p{L}\p{Nd}\s]+"), lambda w: w != ""))
-    varied = F.concat(F.lit("distinct "), F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(F.size(words), F.lit(1))))
-    terms = F.concat(F.array_distinct(words), signs, F.array(varied))
-    return F.array_distinct(F.transform(terms, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+def with_terms(docs: DataFrame, buckets: int) -> DataFrame:
+    """``docs`` plus ``_b``: the buckets of a text's distinct words (runs of letters, in lower case), of the tenth in
+    which the share of distinct words lies, and of that of the signs that are neither letters nor bounds of words.
+
+    The steps are selected one after the other, so that each is worked out once.
+    """
+    split = docs.withColumn("_all", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
+    counted = split.withColumn("_words", F.array_distinct("_all")).withColumn("_signs", F.length("text") - F.length(F.array_join("_all", " ")))
+    tenth = lambda name, part, whole: F.concat(F.lit(f"{name} "), F.floor(part * 10 / F.greatest(whole, F.lit(1))))
+    more = F.array(tenth("distinct", F.size("_words"), F.size("_all")), tenth("signs", F.coalesce("_signs", F.lit(0)), F.length("text")))
+    coded = counted.withColumn("_b", F.transform(F.concat("_words", F.array_compact(more)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+    return coded.drop("_all", "_words", "_signs")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = TRAIN_DOCS) -> Classifier:
@@ -67,8 +72,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, b
     by ``LEAST_Z`` standard errors and by the factor ``LEAST_RATIO``, which leaves out what only goes with length."""
     named = labels.select(F.col("doc_id").alias("_id"), domain_of().alias("_domain")).where("_domain is not null and _id is not null")
     few = F.broadcast(named.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(bound))
-    sample = docs.join(few, docs["doc_id"] == F.col("_id")).select("_domain", word_buckets(docs["text"], buckets).alias("b")).where("b is not null")
-    each = sample.select("_domain", F.explode(F.concat(F.array(F.lit(-1)), "b")).alias("b"))
+    sample = with_terms(docs.join(few, docs["doc_id"] == F.col("_id")).select("_domain", "text"), buckets)
+    each = sample.select("_domain", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct("_b"))).alias("b"))
     counts = each.groupBy("_domain", "b").agg(F.count("*").alias("n")).collect()  # at most domains x (buckets + 1) rows
     domains = sorted({r["_domain"] for r in counts})
     if not domains:
@@ -96,13 +101,15 @@ def _summed(places: Column, values: Column, start: float) -> Column:
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """``docs`` plus ``_w`` (tokens: a quarter of the code points, rounded up) and ``_p0``, ``_p1``, ... by domain."""
     n = len(model.domains)
-    coded = docs.withColumn("_b", word_buckets(F.coalesce("text", F.lit("")), model.weights.shape[1]))
-    for k in range(n):
-        # the weights as one literal, folded to an array of doubles when the plan is made
-        column = F.split(F.lit(",".join(f"{x:.4g}" for x in model.weights[k])), ",").cast("array<double>")
-        coded = coded.withColumn(f"_l{k}", _summed(F.col("_b"), column, float(model.prior[k])))
-    top = F.greatest(*[F.col(f"_l{k}") for k in range(n)]) if n > 1 else F.col("_l0")
-    exps = coded.select(*docs.columns, F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("_w"), *[F.exp(F.col(f"_l{k}") - top).alias(f"_e{k}") for k in range(n)])
+    coded = with_terms(docs, model.weights.shape[1])
+    # log-odds against the first domain; the weights are one literal, folded to an array when the plan is made
+    for k in range(1, n):
+        column = F.split(F.lit(",".join(f"{x:.4g}" for x in model.weights[k] - model.weights[0])), ",").cast("array<double>")
+        coded = coded.withColumn(f"_l{k}", _summed(F.col("_b"), column, float(model.prior[k] - model.prior[0])))
+    logs = [F.lit(0.0), *[F.col(f"_l{k}") for k in range(1, n)]]
+    top = F.greatest(*logs) if n > 1 else logs[0]
+    tokens = F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("_w")
+    exps = coded.select(*docs.columns, tokens, *[F.exp(x - top).alias(f"_e{k}") for k, x in enumerate(logs)])
     total = sum((F.col(f"_e{k}") for k in range(1, n)), F.col("_e0"))
     return exps.select(*docs.columns, "_w", *[(F.col(f"_e{k}") / total).alias(f"_p{k}") for k in range(n)])
 
@@ -123,63 +130,75 @@ def fit_rates(weighed: DataFrame, targets: np.ndarray | None, shares: np.ndarray
     n = sum(c.startswith("_p") for c in weighed.columns)
     mass = [F.col("_w") * F.col(f"_p{k}") for k in range(n)]
     pairs = [(j, k) for j in range(n) for k in range(j, n)]
-
-    def reached(taken: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each domain, and the Gram matrix over the documents that a step can still move."""
-        rate = rate_of(taken, max_rate)
-        free = (rate > 0) if max_rate is None else (rate > 0) & (rate < max_rate)
-        free = F.when(free | F.lit(not taken), 1.0).otherwise(0.0)
-        row = weighed.select("*", rate.alias("_r"), free.alias("_f")).agg(
-            *[F.sum(F.col("_r") * m) for m in mass], *[F.sum(F.col("_f") * mass[j] * mass[k]) for j, k in pairs]
-        ).first()
-        gram = np.zeros((n, n))
-        for (j, k), x in zip(pairs, row[n:]):
-            gram[j, k] = gram[k, j] = x or 0.0
-        return np.array([x or 0.0 for x in row[:n]]), gram
-
-    taken: list[np.ndarray] = []
-    have, gram = reached(taken)
+    row = weighed.agg(*[F.sum(m) for m in mass], *[F.sum(mass[j] * mass[k]) for j, k in pairs]).first()
+    have = np.array([x or 0.0 for x in row[:n]])
+    gram = np.zeros((n, n))
+    for (j, k), x in zip(pairs, row[n:]):
+        gram[j, k] = gram[k, j] = x or 0.0
+    inverse = np.linalg.pinv(gram)
     want = targets if targets is not None else shares * have.sum()
-    while have.sum() and gram.any() and len(taken) < steps and np.abs(have - want).max() > CLOSE * want.sum():
-        taken.append(np.linalg.pinv(gram, rcond=1e-9) @ (have - want))
-        have, gram = reached(taken)
+    taken: list[np.ndarray] = []
+    while have.sum() and len(taken) < steps and np.abs(have - want).max() > CLOSE * want.sum():
+        tried = [taken + [length * (inverse @ (have - want))] for length in LENGTHS]
+        rates = [rate_of(t, max_rate).alias(f"_r{i}") for i, t in enumerate(tried)]
+        sums = weighed.select("*", *rates).agg(*[F.sum(F.col(f"_r{i}") * m) for i in range(len(tried)) for m in mass]).first()
+        each = np.array([x or 0.0 for x in sums]).reshape(len(tried), n)
+        misfit = [(x - want) @ inverse @ (x - want) for x in each]
+        best = int(np.argmin(misfit))
+        if misfit[best] >= (have - want) @ inverse @ (have - want) * (1 - 1e-6):
+            break
+        taken, have = tried[best], each[best]
     return taken, want, have
 
 
-def mix(
+@dataclass
+class Mixture:
+    """A fitted mixture: what rates any document needs but its text."""
+
+    model: Classifier
+    steps: list[np.ndarray]
+    max_rate: float | None
+
+    def rated(self, weighed: DataFrame) -> DataFrame:
+        """``weighed`` (from ``with_posteriors``, with doc_id) plus ``rate`` and ``copies``."""
+        chance = F.pmod(F.xxhash64("doc_id", "_w", F.lit(5)), F.lit(1 << 53)) / float(1 << 53)
+        return weighed.withColumn("rate", rate_of(self.steps, self.max_rate)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+
+
+def fit_mixture(
     docs: DataFrame,
     labels: DataFrame,
     shares: dict[str, float] | None = None,
     keep: dict[str, float] | None = None,
     max_rate: float | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """``docs`` plus ``_w``, ``_p*``, ``rate`` and ``copies``; and the domains in the order of ``_p*``.
+) -> tuple[Mixture, DataFrame]:
+    """The mixture, and the narrow table of ``doc_id``, ``_w`` and ``_p*`` of all ``docs`` (doc_id, text).
 
     Targets are ``shares`` of all tokens (shares of domains that weren't learned are left out, the rest scaled to
     1), or, with ``keep``, the given part of each domain's own expected tokens.
     """
     model = fit_classifier(docs, labels)
-    weighed = with_posteriors(docs.select("doc_id", "text"), model).drop("text")
-    compact = materialise(weighed.drop("doc_id"), "mixture")
+    narrow = materialise(with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "mixture")
     if keep is not None:
-        own = compact.agg(*[F.sum(F.col("_w") * F.col(f"_p{k}")) for k in range(len(model.domains))]).first()
+        own = narrow.agg(*[F.sum(F.col("_w") * F.col(f"_p{k}")) for k in range(len(model.domains))]).first()
         want, part = np.array([(x or 0.0) * keep.get(d, 1.0) for x, d in zip(own, model.domains)]), None
     else:
         part = np.array([(shares or TARGETS).get(d, 0.0) for d in model.domains])
         want, part = None, part / part.sum() if part.sum() else np.full(len(part), 1 / len(part))
-    steps, _, _ = fit_rates(compact, want, part, max_rate)
-    drop_scratch(compact)
-    rated = with_posteriors(docs, model).withColumn("rate", rate_of(steps, max_rate))
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 53)) / float(1 << 53)
-    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), model.domains
+    steps, _, _ = fit_rates(narrow, want, part, max_rate)
+    return Mixture(model, steps, max_rate), narrow
 
 
 def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs``, each row as often as its rate says."""
-    rated, _ = mix(docs, labels, **how)
-    return rated.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """``docs``, each row as often as its rate says. Posteriors are worked out again beside the texts, which costs
+    less than a shuffle of the texts to join them."""
+    mixture, narrow = fit_mixture(docs, labels, **how)
+    drop_scratch(narrow)
+    rated = mixture.rated(with_posteriors(docs, mixture.model)).where("copies > 0")
+    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, domains = mix(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
-    return rated.select("doc_id", F.col("_w").alias("n_tokens"), *[F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate", "copies")
+    mixture, narrow = fit_mixture(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+    posteriors = [F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(mixture.model.domains)]
+    return mixture.rated(narrow).select("doc_id", F.col("_w").alias("n_tokens"), *posteriors, "rate", "copies")
