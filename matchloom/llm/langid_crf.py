@@ -54,16 +54,53 @@ class Model:
     transitions: np.ndarray  # languages x languages, from row to column
 
 
-def features(word: str, buckets: int = BUCKETS) -> list[int]:
-    from xxhash import xxh32_intdigest
-
-    w = word.lower()
-    found = [f"w{w}"]
-    found += [f"p{w[:k]}" for k in range(1, min(4, len(w)) + 1)]
-    found += [f"s{w[-k:]}" for k in range(1, min(4, len(w)) + 1)]
-    bound = f"<{w}>"
-    found += [bound[i : i + k] for k in (1, 2, 3) for i in range(len(bound) - k + 1)]
-    return [xxh32_intdigest(f) & (buckets - 1) for f in found]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of some words, and the place of the word that each belongs to.
+
+    Between marks of its bounds a word has every 1-, 2- and 3-gram (those at a bound are its short affixes), affixes
+    of three and four letters, and itself.
+    """
+    marked = [f"<{w.lower()}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    place = np.arange(len(codes)) - starts[owner]
+    left = sizes[owner] - place
+    every = np.arange(len(marked))
+    found, owners = [_bucket(codes, 1)], [owner]
+    gram = codes
+    for k in (2, 3):
+        gram = gram[:-1] * FACTOR + codes[k - 1 :]
+        whole = left[: len(gram)] >= k
+        found.append(_bucket(gram[whole], k))
+        owners.append(owner[: len(gram)][whole])
+    for k in (4, 5):
+        long = sizes >= k
+        for salt, at in ((10 + k, starts[long]), (20 + k, (starts + sizes - k)[long])):
+            affix = np.zeros(len(at), np.uint64)
+            for j in range(k):
+                affix = affix * FACTOR + codes[at + j]
+            found.append(_bucket(affix, salt))
+            owners.append(every[long])
+    powers = np.cumprod(np.full(int(sizes.max()), FACTOR))
+    found.append(_bucket(np.add.reduceat(codes * powers[place], starts), 30))
+    owners.append(every)
+    return np.concatenate(found), np.concatenate(owners)
+
+
+FACTOR = np.uint64(0x100000001B3)
+
+
+def _bucket(x: np.ndarray, salt: int) -> np.ndarray:
+    z = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+
+
+def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
+    ids, owner = features(words)
+    return np.stack([np.bincount(owner, weights[ids, k], len(words)) for k in range(weights.shape[1])], axis=1)
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +151,14 @@ def train(texts: list[tuple[str, str]], seed: int = 1) -> Model:
     k, rng = len(languages), np.random.default_rng(seed)
     model = Model(languages, np.zeros((BUCKETS, max(k, 1)), np.float32), np.zeros((k, k)))
     coded = [(t, languages.index(y)) for t, y in texts]
-    known: dict[str, np.ndarray] = {}
-
-    def of(word: str) -> np.ndarray:
-        if word not in known:
-            known[word] = np.array(features(word))
-        return known[word]
-
     grad2_w, grad2_t = np.full((BUCKETS, max(k, 1)), 1e-2, np.float32), np.full((k, k), 1e-2)
     for _ in range(EPOCHS if k > 1 else 0):
         for sequence in spliced(coded, rng):
-            ids = [of(w) for w, _ in sequence]
             y = np.array([c for _, c in sequence])
-            sizes = np.array([len(i) for i in ids])
-            flat = np.concatenate(ids)
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            e = np.zeros((len(ids), k))
+            flat, owner = features([w for w, _ in sequence])
+            e = np.zeros((len(y), k))
             np.add.at(e, owner, model.weights[flat])
-            marginals, _ = forward_backward(e[None], np.array([len(ids)]), model.transitions)
+            marginals, _ = forward_backward(e[None], np.array([len(y)]), model.transitions)
             miss = -marginals[0]
             miss[np.arange(len(y)), y] += 1
             g = miss[owner] - DECAY * model.weights[flat]
@@ -178,10 +205,7 @@ class Predictor:
             if len(new) > len(self.rows):
                 self.rows = np.empty((2 * len(new), self.rows.shape[1]), np.float32)
         at = len(self.place)
-        ids = [features(w) for w in new]
-        sizes = np.array([len(i) for i in ids])
-        starts = np.cumsum(sizes) - sizes
-        self.rows[at : at + len(new)] = np.add.reduceat(self.model.weights[np.concatenate([np.array(i) for i in ids])], starts, axis=0)
+        self.rows[at : at + len(new)] = emissions(new, self.model.weights)
         self.place.update(zip(new, range(at, at + len(new))))
 
     def _emissions(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -229,8 +253,9 @@ def training_rows(docs: DataFrame, labelled: Column, bound: int = TRAIN_DOCS) ->
     """At most ``bound`` labelled documents, spread by a hash; a top-k, so nothing else leaves the executors."""
     picked = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
-    rows = picked.select("doc_id", "lang", F.substring("text", 1, 4000).alias("text"), key.alias("k")).orderBy("k", "doc_id").limit(bound)
-    return [(r["text"], r["lang"]) for r in rows.collect()]
+    ids = F.broadcast(picked.select(F.col("doc_id").alias("_id"), key.alias("_k")).orderBy("_k", "_id").limit(bound).distinct())
+    rows = picked.join(ids, picked["doc_id"] == F.col("_id")).select("lang", F.substring("text", 1, 4000).alias("text"), "_k", "_id")
+    return [(r["text"], r["lang"]) for r in rows.orderBy("_k", "_id", "text", "lang").limit(bound).collect()]
 
 
 def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
