@@ -17,91 +17,78 @@ repeated rows are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import materialise, partitions, table
 
 IDF_LOW, IDF_HIGH = 0.5, 7.0
-LEVELS, SEEDS = 12, 4
-BROADCAST_TERMS = 2_000_000
+LEVELS, SEEDS = 12, 8
+BUCKETS = 1 << 20
+BROADCAST_TERMS = 500_000
 
 
-def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> DataFrame:
-    """``term_hash, df`` of the terms in the band. Terms are lower-cased runs without white space, by XXH64."""
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
-    counted = docs.select(F.explode(words).alias("term_hash")).groupBy("term_hash").agg(F.count("*").alias("df"))
-    n = docs.count()
-    idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    return counted.where(idf.between(idf_low, idf_high) & (F.col("term_hash") != F.xxhash64(F.lit(""))))
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+"))
 
 
-def subset_salts(levels: int = LEVELS, seeds: int = SEEDS) -> list[tuple[int, np.uint64]]:
-    """Level and salt of each subset; a term is in it if ``level`` low bits of its salted hash are zero."""
-    return [(lv, np.uint64((lv * seeds + s + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for lv in range(levels) for s in range(seeds)]
-
+def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> DataFrame:
+    """``term, df`` of the terms in the band; terms are lower-cased runs without white space.
 
-def stirred(h: np.ndarray, salt: np.uint64) -> np.ndarray:
-    z = h + salt
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
+    Rare terms, most of all, never travel: first the documents with any term of a hash bucket are counted for
+    ``BUCKETS`` buckets, and only terms of buckets frequent enough for the band are then counted themselves. Buckets
+    that frequent are bounded as the lexicon is.
+    """
+    n = docs.count()
+    least = n * math.exp(-idf_high)
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    crowded = docs.select(F.explode(F.array_distinct(F.transform(distinct_words(F.col("text")), bucket))).alias("bucket"))
+    crowded = materialise(crowded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("bucket"), "buckets")
+    words = docs.select(F.explode(distinct_words(F.col("text"))).alias("term")).withColumn("bucket", bucket(F.col("term")))
+    counted = words.join(F.broadcast(crowded), "bucket").groupBy("term").agg(F.count("*").alias("df"))
+    return counted.where((F.col("df") >= least) & (F.col("df") <= n * math.exp(-idf_low)) & (F.col("term") != ""))
 
 
 class Fingerprinter:
     """Fingerprints of texts: an array of one 64-bit hash for each subset, zero where the text has no term in it."""
 
-    def __init__(self, terms: np.ndarray, levels: int = LEVELS, seeds: int = SEEDS, memo: int = 400_000) -> None:
-        self.terms, self.salts = terms, subset_salts(levels, seeds)
-        self.levels, self.memo = levels, memo
-        self.known: dict[str, int] = {}  # word to its place in terms, -1 if it has none
-        # for each subset the terms' salted hashes, and at which level below the densest each drops out
-        self.keys = [stirred(terms, salt) for _, salt in self.salts]
-
-    def _place(self, words: set[str]) -> None:
+    def __init__(self, terms: list[str], levels: int = LEVELS, seeds: int = SEEDS) -> None:
         from xxhash import xxh64_intdigest
 
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.memo:
-            self.known.clear()
-            new = list(words)
-        hashes = np.fromiter((xxh64_intdigest(w.encode(), 42) for w in new), np.uint64, len(new))
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == hashes if len(self.terms) else np.zeros(len(new), bool)
-        self.known.update(zip(new, np.where(hit, at, -1).tolist()))
+        self.hash = xxh64_intdigest
+        self.place = {w.encode(): i for i, w in enumerate(sorted(terms))}
+        self.terms = frozenset(self.place)
+        self.keys = np.fromiter(map(xxh64_intdigest, self.place), np.uint64, len(self.place))
+        # in a subset are the terms whose salted hash ends in as many zero bits as its level says
+        self.subsets = levels * seeds
+        self.member = np.empty((len(self.keys), self.subsets), bool)
+        for k in range(self.subsets):
+            self.member[:, k] = stirred(self.keys, k + 1) & np.uint64((1 << k // seeds) - 1) == 0
 
     def __call__(self, text: str) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        words = set(text.lower().split(" ") if text.isascii() and text.isprintable() else text.translate(BLANKS).lower().split(" "))
-        try:
-            at = {self.known[w] for w in words}
-        except KeyError:
-            self._place(words)
-            at = {self.known[w] for w in words}
-        at.discard(-1)
-        out = np.zeros(len(self.salts), np.uint64)
-        if not at:
-            out[:] = xxh64_intdigest(text.encode(), 7) | 1
-            return out
-        places = np.fromiter(at, np.int64, len(at))
-        places.sort()  # places are in the order of term hashes, which orders the terms
-        for k, (level, _) in enumerate(self.salts):
-            keys = self.keys[k][places]
-            if level:
-                keys = keys[keys & np.uint64((1 << level) - 1) == 0]
-            if len(keys):
-                out[k] = xxh64_intdigest(keys.tobytes(), 11) | 1
-        return out
-
-
-BLANKS = {c: " " for c in range(9, 14)}
+        found = self.terms.intersection(text.lower().encode().split())  # bytes are split at ASCII white space only
+        if not found:
+            return np.full(self.subsets, self.hash(text.encode(), 7) | 1, np.uint64)
+        at = np.array(sorted(map(self.place.__getitem__, found)))
+        subset, nth = np.nonzero(self.member[at].T)
+        data = self.keys[at[nth]].tobytes()
+        ends = np.searchsorted(subset, np.arange(self.subsets + 1)).tolist()
+        hashed = self.hash
+        out = [hashed(data[8 * a : 8 * b], k) | 1 if b > a else 0 for k, (a, b) in enumerate(pairwise(ends))]
+        return np.array(out, np.uint64)
+
+
+def stirred(h: np.ndarray, salt: int) -> np.ndarray:
+    z = h + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,10 +132,9 @@ def in_bands(docs: DataFrame) -> DataFrame:
 def edit_probe(docs: DataFrame, terms: DataFrame, levels: int = LEVELS, seeds: int = SEEDS) -> DataFrame:
     """Fingerprints of all texts and of their edited versions, in descending order of ids."""
     spark = docs.sparkSession
-    kept = materialise(terms, "lexicon")
-    if kept.count() > BROADCAST_TERMS:
-        raise ValueError("the documents are too long for this band: lower idf_high")
-    listed = np.sort(kept.select("term_hash").toArrow()["term_hash"].to_numpy().view(np.uint64))
+    listed = [r["term"] for r in terms.limit(BROADCAST_TERMS + 1).collect()]
+    if len(listed) > BROADCAST_TERMS:
+        raise ValueError("the documents have too many distinct terms each for this band: lower idf_high")
     shared = spark.sparkContext.broadcast(listed)
     names = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
