@@ -48,6 +48,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Memos that live as long as a Python worker. Kernels without one of these free them, as stages share workers.
+MEMOS: list[dict] = []
+
+
+def forget() -> None:
+    for memo in MEMOS:
+        memo.clear()
+
+
+def slices(batches, rows: int = 1_000):
+    """Arrow batches in parts of at most ``rows`` rows, so that what a kernel makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,17 +21,17 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
-from itertools import accumulate
-from struct import pack, unpack
+from itertools import accumulate, pairwise
+from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import MEMOS, slices, table
 
-MEMO = 400_000
+MEMO = 200_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -40,39 +40,50 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 BIT = [1 << i for i in range(256)]
+NONE = 1 << 40  # the rank of a pair that does not merge
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token.
 
     ``buckets`` is the rank queue: rank to positions, a heap. ``words`` has a bit for each rank that has a bucket,
-    256 to a word, and ``top`` one for each word that isn't zero. Its steps stand in line, as they run for every
-    pair of every new pre-token.
+    256 to a word, and ``top`` one for each word that isn't zero. Only pairs that rank below both neighbours are
+    queued (on a tie the left one): the lowest pair always does, and a merge can raise no others than those next to
+    it to that. Its steps stand in line, as they run for every pair of every new pre-token.
     """
     find = ranks.get
     if (whole := find(piece)) is not None:
         return [whole]
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n))
-    noted = [find(piece[i : i + 2]) for i in before[1:n]]
-    noted.append(None)
+    noted = [find(piece[i : i + 2], NONE) for i in before[1:n]]
+    noted.append(NONE)  # of the last token; also read at -1 and n, which are no pairs
+    noted.append(NONE)
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-    for p, rank in zip(before[1:], noted):
-        if rank is None:
-            pass
-        elif rank in buckets:
-            buckets[rank].append(p)
-        else:
-            buckets[rank] = [p]
-            word = rank >> 8
-            if word in words:
-                words[word] |= BIT[rank & 255]
+    left = NONE
+    fresh = []
+    for p in before[1:n]:
+        rank = noted[p]
+        if rank < left and rank <= noted[p + 1]:
+            fresh.append(p)
+        left = rank
+    while True:
+        for p in fresh:
+            rank = noted[p]
+            if rank in buckets:
+                heappush(buckets[rank], p)
             else:
-                words[word] = BIT[rank & 255]
-                top |= BIT[word] if word < 256 else 1 << word
-    while top:
+                buckets[rank] = [p]
+                word = rank >> 8
+                if word in words:
+                    words[word] |= BIT[rank & 255]
+                else:
+                    words[word] = BIT[rank & 255]
+                    top |= BIT[word] if word < 256 else 1 << word
+        if not top:
+            break
         word = (top & -top).bit_length() - 1
         bits = words[word]
         low = bits & -bits
@@ -88,29 +99,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 top ^= BIT[word] if word < 256 else 1 << word
             else:
                 words[word] = bits ^ low
+        fresh = []
         if noted[p] != rank:
             continue
         q = after[p]
         end = after[q]
-        after[p], before[end], noted[q] = end, p, None
-        noted[p] = new = find(piece[p : after[end]]) if end < n else None
-        left = before[p]
-        while True:  # for the pair that begins at p, then for that which ends with it
-            if new is not None:
-                if new in buckets:
-                    heappush(buckets[new], p)
-                else:
-                    buckets[new] = [p]
-                    word = new >> 8
-                    if word in words:
-                        words[word] |= BIT[new & 255]
-                    else:
-                        words[word] = BIT[new & 255]
-                        top |= BIT[word] if word < 256 else 1 << word
-            if left < 0:
-                break
-            p, left = left, -1
-            noted[p] = new = find(piece[p:end])
+        was_right = noted[q]
+        after[p], before[end], noted[q] = end, p, NONE
+        noted[p] = here = find(piece[p : after[end]], NONE) if end < n else NONE
+        l = before[p]
+        if l >= 0:
+            was_left = noted[l]
+            noted[l] = side = find(piece[l:end], NONE)
+            ll = before[l]
+            further = noted[ll]
+            if side < further:
+                if side <= here and side != NONE:
+                    fresh.append(l)
+            elif was_left < further and further != NONE and further < noted[before[ll]]:
+                fresh.append(ll)
+        else:
+            side = NONE
+        beyond = noted[end]
+        if here <= beyond:
+            if here < side:
+                fresh.append(p)
+        elif was_right <= beyond and beyond <= noted[after[end]]:
+            fresh.append(end)
     out, p = [], 0
     while p < n:
         q = after[p]
@@ -123,14 +138,14 @@ class Memo(dict):
     """Text unit to its ids as int32 bytes, in two generations: when the younger has ``limit`` entries it becomes the
     elder, and what is asked for again moves back into the younger."""
 
-    def __init__(self, code: Callable[[str], Sequence[int]], limit: int = MEMO, prefix: str = "") -> None:
+    def __init__(self, code: Callable[[str], bytes], limit: int = MEMO, prefix: str = "") -> None:
         super().__init__()
         self.code, self.limit, self.prefix, self.elder = code, limit, prefix, {}
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.elder.get(unit)
         if ids is None:
-            ids = pack("<%di" % len(found := self.code(self.prefix + unit)), *found)
+            ids = self.code(self.prefix + unit)
         if len(unit) <= 64:
             if len(self) >= self.limit:
                 self.elder = dict(self)
@@ -147,7 +162,7 @@ _odd = re.compile(r" (?:\s|$)").search
 class UnitCoder:
     """Whole texts to ids: cut at such spaces, units looked up in memos, new ones coded by ``code``."""
 
-    def __init__(self, code: Callable[[str], Sequence[int]], limit: int = MEMO) -> None:
+    def __init__(self, code: Callable[[str], bytes], limit: int = MEMO) -> None:
         self.first, self.rest = Memo(code, limit // 8), Memo(code, limit, " ")
 
     def __call__(self, text: str | None) -> bytes:
@@ -157,18 +172,18 @@ class UnitCoder:
         return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
 
 
-def unit_coder(code: Callable[[str], list[int]], pattern: str, limit: int = MEMO) -> UnitCoder:
+def unit_coder(code: Callable[[str], Sequence[int]], pattern: str, limit: int = MEMO) -> UnitCoder:
     """A coder of texts from a coder of single pre-tokens, the matches of ``pattern``."""
     import regex
 
-    find = regex.compile(pattern).findall
-    pieces = Memo(code, limit)
+    find, formats = regex.compile(pattern).findall, [f"<{n}i" for n in range(256)]
 
-    def whole(unit: str) -> tuple[int, ...]:
-        found = b"".join(map(pieces.__getitem__, find(unit)))
-        return unpack("<%di" % (len(found) // 4), found)
+    def packed(piece: str) -> bytes:
+        n = len(ids := code(piece))
+        return pack(formats[n] if n < 256 else f"<{n}i", *ids)
 
-    return UnitCoder(whole, limit // 2)
+    of = Memo(packed, limit).__getitem__
+    return UnitCoder(lambda unit: b"".join(map(of, find(unit))), limit // 2)
 
 
 def bpe_coder(ranks: dict[bytes, int], pattern: str) -> UnitCoder:
@@ -176,6 +191,7 @@ def bpe_coder(ranks: dict[bytes, int], pattern: str) -> UnitCoder:
 
 
 _coders: dict[tuple[bytes, str], UnitCoder] = {}
+MEMOS.append(_coders)
 
 
 def _coder(raw: bytes, pattern: str) -> UnitCoder:
@@ -208,7 +224,7 @@ def encode(df: DataFrame, raw: bytes, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index(text))
             yield with_column(batch, ids, id_lists([coder(t) for t in column.to_pylist()]))
 
@@ -221,9 +237,11 @@ def decode(df: DataFrame, raw: bytes, ids: str = "ids", decoded: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: x for x, rank in read_ranks(shared.value).items()}.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index(ids))
-            parts = [b"".join(map(token, x.values.to_pylist() if x.is_valid else ())) for x in column]
+            offsets, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+            valid = column.is_valid().to_pylist()
+            parts = [b"".join(map(token, values[a:b].tolist())) if v else b"" for v, (a, b) in zip(valid, pairwise(offsets))]
             yield with_column(batch, decoded, pa.array(parts, pa.binary()))
 
     return df.mapInArrow(run, schema_with(df, decoded, T.BinaryType()))

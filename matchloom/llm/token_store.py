@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, scratch_path, table
+from ._common import MEMOS, partitions, scratch_path, slices, table
 from .bpe_codec import UnitCoder, id_lists, split_pattern, unit_coder, vocabulary
 
 END_ID = 0
@@ -40,6 +40,7 @@ LAYOUT = {
 }
 
 _coders: dict[bytes, UnitCoder] = {}
+MEMOS.append(_coders)
 
 
 def _coder(raw: bytes) -> UnitCoder:
@@ -64,7 +65,7 @@ def write(docs: DataFrame, path: str, tokenizer: bytes, end_id: int = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _coder(shared.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             parts = [coder(t) + end for t in batch.column(1).to_pylist()]
             counts = [len(p) // 4 for p in parts]
             starts = list(accumulate(counts, initial=at))
