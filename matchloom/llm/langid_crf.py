@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import forget, slices, table
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -266,8 +266,9 @@ def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         predictor = Predictor(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = predictor.texts(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 batch.columns + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import forget, materialise, slices, table
 from .components import components
 
 SEED = 42
@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, words: int, tables: int = 1) -> DataFrame:
     """``doc_id, text_hash, prints array<long>`` (one print for each table) of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in slices(batches):
             prints = []
             for text in batch.column(2).to_pylist():
                 values = shingle_hashes(text or "", words)
@@ -101,7 +102,8 @@ def links(nodes: DataFrame, bits: int, verify: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, tables: int = 1, bits: int = 64, verify: int = 2) -> DataFrame:
-    """``doc_id, text_hash, prints, component_id``, a row for each of ``docs``. Links meet within 2 bits of a table."""
+    """``doc_id, text_hash, prints, component_id, class``, a row for each of ``docs``. Links meet within 2 bits of a
+    table. The class is the component's own name, which ids that repeat across texts don't share."""
     rows = materialise(fingerprints(docs, words, tables), "prints")
     node = F.get("prints", F.lit(0)) if tables == 1 else F.xxhash64("prints")
     rows = rows.withColumn("node", node)
@@ -109,8 +111,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, tables: int = 1, bits: int
     roots = components(links(nodes.select("node", "prints"), bits, verify))
     linked = nodes.join(roots, "node").select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select("node", "least")
-    classes = materialise(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "classes")
+    linked = linked.join(least, "root").select("node", "root", "least")
+    named = nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "node").alias("class"))
+    classes = materialise(named, "classes")
     return rows.join(classes, "node").drop("node")
 
 
@@ -120,11 +123,10 @@ def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **how) -> Da
     Those to drop join by broadcast while their count is under ``broadcast_rows``, by a shuffle beyond it. Of rows
     that repeat id and text one stays.
     """
-    classes = near_duplicates(docs, **how).select("doc_id", "text_hash", "component_id")
-    seen = materialise(classes.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n")), "seen")
+    classes = near_duplicates(docs, **how).select("doc_id", "text_hash", "class")
+    seen = materialise(classes.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")), "seen")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("keep")
-    kept = seen.groupBy("component_id").agg(least).withColumnRenamed("component_id", "class")
-    judged = seen.join(kept, F.col("component_id").eqNullSafe(F.col("class"))).select(
+    judged = seen.join(seen.groupBy("class").agg(least), "class").select(
         F.col("doc_id").alias("_id"),
         F.col("text_hash").alias("_hash"),
         (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))).alias("_stays"),
