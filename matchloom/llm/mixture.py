@@ -30,9 +30,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_scratch, materialise, table
+from ._common import materialise, table
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 TRAIN_DOCS = 6_000
 LEAST_Z, LEAST_RATIO = 3.0, 3.0
 STEPS, CLOSE = 12, 2e-3
@@ -114,15 +114,20 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return exps.select(*docs.columns, "_w", *[(F.col(f"_e{k}") / total).alias(f"_p{k}") for k in range(n)])
 
 
+def moved(rate: Column, step: list[Column], max_rate: float | None) -> Column:
+    """One clipped step from ``rate``, by ``_w`` and ``_p*``."""
+    move = sum((F.col(f"_p{k}") * x for k, x in enumerate(step[1:], 1)), F.col("_p0") * step[0])
+    rate = F.greatest(F.lit(0.0), rate - F.col("_w") * move)
+    return rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
+
+
 def rate_of(steps: list[np.ndarray], max_rate: float | None) -> Column:
-    """The rate after the given steps, from ``_w`` and ``_p*`` alone."""
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((F.col(f"_p{k}") * float(x) for k, x in enumerate(step[1:], 1)), F.col("_p0") * float(step[0]))
-        rate = F.greatest(F.lit(0.0), rate - F.col("_w") * move)
-        if max_rate is not None:
-            rate = F.least(F.lit(float(max_rate)), rate)
-    return rate
+    """The rate after the given steps, from ``_w`` and ``_p*`` alone: a fold, so that plans stay small."""
+    if not steps:
+        return F.lit(1.0)
+    n = len(steps[0])
+    listed = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    return F.aggregate(listed, F.lit(1.0), lambda r, s: moved(r, [F.get(s, F.lit(k)) for k in range(n)], max_rate))
 
 
 def fit_rates(weighed: DataFrame, targets: np.ndarray | None, shares: np.ndarray | None, max_rate: float | None, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -130,24 +135,29 @@ def fit_rates(weighed: DataFrame, targets: np.ndarray | None, shares: np.ndarray
     n = sum(c.startswith("_p") for c in weighed.columns)
     mass = [F.col("_w") * F.col(f"_p{k}") for k in range(n)]
     pairs = [(j, k) for j in range(n) for k in range(j, n)]
+
+    def square(upper: list[float | None]) -> np.ndarray:
+        gram = np.zeros((n, n))
+        for (j, k), x in zip(pairs, upper):
+            gram[j, k] = gram[k, j] = x or 0.0
+        return gram
+
     row = weighed.agg(*[F.sum(m) for m in mass], *[F.sum(mass[j] * mass[k]) for j, k in pairs]).first()
     have = np.array([x or 0.0 for x in row[:n]])
-    gram = np.zeros((n, n))
-    for (j, k), x in zip(pairs, row[n:]):
-        gram[j, k] = gram[k, j] = x or 0.0
-    inverse = np.linalg.pinv(gram)
+    inverse = np.linalg.pinv(square(row[n:]))
     want = targets if targets is not None else shares * have.sum()
+    misfit = lambda x: (x - want) @ inverse @ (x - want)
     taken: list[np.ndarray] = []
     while have.sum() and len(taken) < steps and np.abs(have - want).max() > CLOSE * want.sum():
-        tried = [taken + [length * (inverse @ (have - want))] for length in LENGTHS]
-        rates = [rate_of(t, max_rate).alias(f"_r{i}") for i, t in enumerate(tried)]
-        sums = weighed.select("*", *rates).agg(*[F.sum(F.col(f"_r{i}") * m) for i in range(len(tried)) for m in mass]).first()
+        tried = [length * (inverse @ (have - want)) for length in LENGTHS]
+        frame = weighed.withColumn("_r", rate_of(taken, max_rate))
+        frame = frame.select("*", *[moved(F.col("_r"), [F.lit(float(x)) for x in t], max_rate).alias(f"_r{i}") for i, t in enumerate(tried)])
+        sums = frame.agg(*[F.sum(F.col(f"_r{i}") * m) for i in range(len(tried)) for m in mass]).first()
         each = np.array([x or 0.0 for x in sums]).reshape(len(tried), n)
-        misfit = [(x - want) @ inverse @ (x - want) for x in each]
-        best = int(np.argmin(misfit))
-        if misfit[best] >= (have - want) @ inverse @ (have - want) * (1 - 1e-6):
+        best = int(np.argmin([misfit(x) for x in each]))
+        if misfit(each[best]) >= misfit(have) * (1 - 1e-6):
             break
-        taken, have = tried[best], each[best]
+        taken, have = [*taken, tried[best]], each[best]
     return taken, want, have
 
 
@@ -171,31 +181,31 @@ def fit_mixture(
     shares: dict[str, float] | None = None,
     keep: dict[str, float] | None = None,
     max_rate: float | None = None,
+    drop: tuple[str, ...] = ("text",),
 ) -> tuple[Mixture, DataFrame]:
-    """The mixture, and the narrow table of ``doc_id``, ``_w`` and ``_p*`` of all ``docs`` (doc_id, text).
+    """The mixture, and a written table of ``docs`` without the columns ``drop`` but with ``_w`` and ``_p*``.
 
     Targets are ``shares`` of all tokens (shares of domains that weren't learned are left out, the rest scaled to
     1), or, with ``keep``, the given part of each domain's own expected tokens.
     """
     model = fit_classifier(docs, labels)
-    narrow = materialise(with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "mixture")
+    weighed = materialise(with_posteriors(docs, model).drop(*drop), "mixture")
     if keep is not None:
-        own = narrow.agg(*[F.sum(F.col("_w") * F.col(f"_p{k}")) for k in range(len(model.domains))]).first()
+        own = weighed.agg(*[F.sum(F.col("_w") * F.col(f"_p{k}")) for k in range(len(model.domains))]).first()
         want, part = np.array([(x or 0.0) * keep.get(d, 1.0) for x, d in zip(own, model.domains)]), None
     else:
         part = np.array([(shares or TARGETS).get(d, 0.0) for d in model.domains])
         want, part = None, part / part.sum() if part.sum() else np.full(len(part), 1 / len(part))
-    steps, _, _ = fit_rates(narrow, want, part, max_rate)
-    return Mixture(model, steps, max_rate), narrow
+    steps, _, _ = fit_rates(weighed, want, part, max_rate)
+    return Mixture(model, steps, max_rate), weighed
 
 
 def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs``, each row as often as its rate says. Posteriors are worked out again beside the texts, which costs
-    less than a shuffle of the texts to join them."""
-    mixture, narrow = fit_mixture(docs, labels, **how)
-    drop_scratch(narrow)
-    rated = mixture.rated(with_posteriors(docs, mixture.model)).where("copies > 0")
-    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """``docs``, each row as often as its rate says. Posteriors are written beside the texts, which costs less than a
+    shuffle of the texts to join them."""
+    mixture, weighed = fit_mixture(docs, labels, drop=(), **how)
+    drawn = mixture.rated(weighed).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return drawn.select(*docs.columns)
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
