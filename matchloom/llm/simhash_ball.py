@@ -9,7 +9,8 @@ which connects all that collide there without listing all pairs. Components of t
 
 Copies share a fingerprint and are one node, however many. With ``tables`` over 1, each table has a fingerprint of
 its own (from the same shingle values, mixed), a link needs one table to collide, and the fingerprints of all
-tables together may differ in ``verify`` of their bits: this finds texts of lower likeness than one table can.
+tables together may differ in ``verify`` of their bits: this finds texts of lower likeness than one table can. Those
+that meet in a table may then be apart in others, and ``meet`` compares all of a group.
 
 Edge cases: null and empty texts have the fingerprint zero and are linked like any other; fewer words than a
 shingle has make one shingle; repeated rows and ids are each returned; a null id never becomes a component's id
@@ -18,7 +19,7 @@ while there is another; an empty table gives an empty result. Whole texts are re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import meet
 from ._common import forget, materialise, slices, table
 from .components import components
 
@@ -83,22 +85,33 @@ def fingerprints(docs: DataFrame, words: int, tables: int = 1) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, text_hash long, prints array<long>")
 
 
-def links(nodes: DataFrame, bits: int, verify: int) -> DataFrame:
-    """``a, b``: links of ``nodes`` (node, prints), verified over all their prints."""
+def links(nodes: DataFrame, bits: int, verify: int, tables: int = 1) -> DataFrame:
+    """``a, b``: links of ``nodes`` (node, prints), verified over all their prints; their components are those of all
+    that meet within 2 bits of a table and are within ``verify`` bits over all tables."""
     tables_of = F.posexplode("prints").alias("t", "print")
     key = F.col("print") if bits == 64 else F.col("print").bitwiseAND(F.lit((1 << bits) - 1))
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(bits)])
     emitted = nodes.select("node", tables_of).select("node", "print", "t", F.explode(F.transform(masks, lambda m: key.bitwiseXOR(m))).alias("variant"))
-    # One print for each node: all that meet are near each other, and one link to the next of them will do. With more,
-    # those that meet in one table may be apart in others, and each has three chances.
-    back = ["lag(node)"] if verify <= 2 else ["lag(node)", "lag(node, 2)", "first(node)"]
-    backs = ", ".join(f"{f} over (partition by t, variant order by print, node)" for f in back)
-    met = emitted.select("node", F.expr(f"array_distinct(array({backs}))").alias("earlier")).select("node", F.explode("earlier").alias("before"))
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= verify
+    if bits < 64 or tables > 1 or verify < 2:
+        # those that meet may be apart in other bits, so a neighbour that is apart says nothing of the others
+        posted = emitted.select(F.xxhash64("t", "variant").alias("bucket"), "node").distinct()
+        found = meet.roots(meet.shared(posted), nodes.select("node", F.col("prints").alias("payload")), apart, _kernel(verify))
+        return found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    # all that meet are within 2 bits of each other, and one link to the next of them will do
+    met = emitted.select("node", F.expr("lag(node) over (partition by t, variant order by print, node)").alias("before"))
     met = met.where("before <> node").distinct()
     a = nodes.select(F.col("node").alias("node"), F.col("prints").alias("p"))
     b = nodes.select(F.col("node").alias("before"), F.col("prints").alias("q"))
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return met.join(a, "node").join(b, "before").where(apart <= verify).select(F.col("before").alias("a"), F.col("node").alias("b"))
+    return met.join(a, "node").join(b, "before").where(apart("p", "q")).select(F.col("before").alias("a"), F.col("node").alias("b"))
+
+
+def _kernel(verify: int) -> meet.Kernel:
+    def kernel(prints: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+        held = np.stack(prints).view(np.uint64)  # of signed ones it would count the bits of the magnitude
+        return lambda x: np.bitwise_count(held ^ held[x]).sum(axis=1) <= verify
+
+    return kernel
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, tables: int = 1, bits: int = 64, verify: int = 2) -> DataFrame:
@@ -108,7 +121,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, tables: int = 1, bits: int
     node = F.get("prints", F.lit(0)) if tables == 1 else F.xxhash64("prints")
     rows = rows.withColumn("node", node)
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("prints").alias("prints")), "nodes")
-    roots = components(links(nodes.select("node", "prints"), bits, verify))
+    roots = components(links(nodes.select("node", "prints"), bits, verify, tables))
     linked = nodes.join(roots, "node").select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("node", "root", "least")
