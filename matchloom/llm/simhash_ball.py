@@ -130,13 +130,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, tables: int = 1, bits: int
     return rows.join(classes, "node").drop("node")
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
-    """``docs`` without all but one document of each class: that of the smallest id, by text hash among equal ids.
+def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
+    """``docs`` without all but one document of each class that ``find`` finds: that of the smallest id, by text hash
+    among equal ids.
 
     Those to drop join by broadcast while their count is under ``broadcast_rows``, by a shuffle beyond it. Of rows
     that repeat id and text one stays.
     """
-    classes = near_duplicates(docs, **how).select("doc_id", "text_hash", "class")
+    classes = find(docs, **how).select("doc_id", "text_hash", "class")
     seen = materialise(classes.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")), "seen")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("keep")
     judged = seen.join(seen.groupBy("class").agg(least), "class").select(

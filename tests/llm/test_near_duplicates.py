@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from matchloom.llm import simhash_ball
 
 
@@ -34,3 +35,39 @@ def test_copies_of_one_original_that_are_not_near_each_other(spark, many):
 
     root = {r["node"]: r["root"] for r in components(simhash_ball.links(nodes, 32, 77)).collect()}
     assert [root.get(i, i) for i in range(len(prints))] == want
+
+
+def shingles(text):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_stage_keeps_one_of_each_class_of_likeness(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(1 << 30)}"
+
+    def edited(words, share):
+        return [word() if rng.random() < share else w for w in words]
+
+    texts = []
+    for share in np.linspace(0.005, 0.04, 60):  # likeness from about 0.95 to 0.65
+        base = [word() for _ in range(rng.integers(60, 300))]
+        texts += [base, edited(base, share)]
+    many = [word() for _ in range(200)]
+    texts += [many, *(edited(many, 0.018) for _ in range(150))]  # each near the original, few near each other
+    texts = [" ".join(t) for t in texts] + ["", "one two", "one two"]
+    sets = [shingles(t) for t in texts]
+    alike = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    assert ((alike >= 0.8) & (alike < 0.85)).sum() > 100 and ((alike >= 0.7) & (alike < 0.8)).sum() > 1000
+    want = classes_of(len(texts), lambda i: alike[i] >= 0.8)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
+def test_empty_and_null_texts_are_one_class(spark):
+    docs = spark.createDataFrame([(3, None), (2, ""), (None, " "), (5, "a b"), (5, "a b"), (6, "A  b")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in corpus_pipeline.NEAR["find"](docs).collect()}
+    assert got == {(3, 2), (2, 2), (None, 2), (5, 5), (6, 5)}
+    assert corpus_pipeline.NEAR["find"](docs.where("false")).count() == 0
