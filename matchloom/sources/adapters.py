@@ -46,7 +46,7 @@ select user_id as player_id, {day:(event_id * 7) % 2400} as transfer_date, event
 from events where event_type = 'click'""",
     "lineups": """
 select distinct cast(o_orderdate as date) as date, concat('T', cast(c_nationkey as string)) as team, l_suppkey as player_id
-from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber <= 2""",
+from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""",
     "editions": """
 select concat('T', cast(user_id % 25 as string)) as country, {day:(user_id * 13) % 1500} as start,
   {day:(user_id * 13) % 1500 + 200} as "end", user_id as player_id from events group by user_id""",
@@ -70,10 +70,10 @@ select o_orderkey as match_id, outcome, odds from (
   union all select o_orderkey, 'hcap_home_-1', 2.2 + cast(o_orderkey % 31 as double) / 10 from orders
   union all select o_orderkey, 'hcap_draw_-1', 3.0 + cast(o_orderkey % 17 as double) / 10 from orders
   union all select o_orderkey, 'hcap_away_+1', 1.6 + cast(o_orderkey % 15 as double) / 10 from orders
-) t where o_orderkey % 50 = 0""",
+) t""",
     "rates": """
 select o_orderkey as match_id, 0.6 + cast(o_orderkey % 29 as double) / 12 as lam, 0.4 + cast(o_orderkey % 23 as double) / 11 as mu
-from orders where o_orderkey % 50 = 0""",
+from orders""",
     "losses": """
 select m.match_id, m.date, m.tournament, m.neutral, m.home_score, m.away_score,
   1400 + cast(m.match_id % 401 as double) as elo_home, 1380 + cast(m.match_id % 379 as double) as elo_away,
