@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``, or by ``setCheckpointDir`` where that is unset. Without
+    either there is none that executors share, which is an error; tests and the benchmark set their own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="matchloom-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -57,11 +60,31 @@ def forget() -> None:
         memo.clear()
 
 
-def slices(batches, rows: int = 1_000):
-    """Arrow batches in parts of at most ``rows`` rows, so that what a kernel makes of one stays small."""
+@contextmanager
+def uncollected():
+    """Without the cyclic collector, which would walk through the memos again and again; what is made in here must
+    have no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def slices(batches, text: str | None = None, rows: int = 1_000, size: int = 4 << 20):
+    """Arrow batches in parts of at most ``rows`` rows and, where a column of texts is named, about ``size`` bytes of
+    it (one longer text is a part), so that what a kernel makes of one stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        lengths = None
+        if text is not None:
+            lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            if lengths is not None:
+                n = max(1, int(np.searchsorted(np.cumsum(lengths[at : at + n], dtype=np.int64), size, side="right")))
+            yield batch.slice(at, n)
+            at += n
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,19 +19,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
 from itertools import accumulate, pairwise
-from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import MEMOS, slices, table
+from ._common import MEMOS, slices, table, uncollected
 
-MEMO = 200_000
+MEMO = 250_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -134,64 +134,77 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Memo(dict):
-    """Text unit to its ids as int32 bytes, in two generations: when the younger has ``limit`` entries it becomes the
-    elder, and what is asked for again moves back into the younger."""
-
-    def __init__(self, code: Callable[[str], bytes], limit: int = MEMO, prefix: str = "") -> None:
-        super().__init__()
-        self.code, self.limit, self.prefix, self.elder = code, limit, prefix, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.elder.get(unit)
-        if ids is None:
-            ids = self.code(self.prefix + unit)
-        if len(unit) <= 64:
-            if len(self) >= self.limit:
-                self.elder = dict(self)
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 #: A space before anything but white space always begins a pre-token, so texts can be cut there before the pattern.
 _cut = re.compile(r" (?=\S)").split
 _odd = re.compile(r" (?:\s|$)").search
+#: Signs that end a word and stand as pre-tokens of their own after it.
+ENDS = frozenset(",.;:!?")
+LONG = 64  # characters of units that aren't kept
 
 
 class UnitCoder:
-    """Whole texts to ids: cut at such spaces, units looked up in memos, new ones coded by ``code``."""
-
-    def __init__(self, code: Callable[[str], bytes], limit: int = MEMO) -> None:
-        self.first, self.rest = Memo(code, limit // 8), Memo(code, limit, " ")
+    """Whole texts to ids (int32 bytes): cut at such spaces, new units cut by ``pattern`` and coded by ``code``, which
+    takes one pre-token. Where the pattern keeps plain words (ASCII letters after a space) whole, and signs that end
+    one apart, such units are cut without it.
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        head, *rest = _cut(text) if _odd(text) else text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+    Units are known in two generations: when the younger has ``limit`` entries it becomes the elder, and what is asked
+    for again moves back into the younger. A call learns all the new units of its texts at once.
+    """
 
+    def __init__(self, code: Callable[[str], Sequence[int]], pattern: str, limit: int = MEMO) -> None:
+        import regex
 
-def unit_coder(code: Callable[[str], Sequence[int]], pattern: str, limit: int = MEMO) -> UnitCoder:
-    """A coder of texts from a coder of single pre-tokens, the matches of ``pattern``."""
-    import regex
+        self.code, self.find, self.limit = code, regex.compile(pattern).findall, limit
+        self.plain = all(self.find(f" ab{e}") == [" ab", e] for e in ENDS) and self.find(" ab") == [" ab"]
+        self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # of units that aren't plain
 
-    find, formats = regex.compile(pattern).findall, [f"<{n}i" for n in range(256)]
+    def _packed(self, piece: str) -> bytes:
+        return array("i", self.code(piece)).tobytes()
 
-    def packed(piece: str) -> bytes:
-        n = len(ids := code(piece))
-        return pack(formats[n] if n < 256 else f"<{n}i", *ids)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self._packed(piece)
+            if len(piece) <= LONG:
+                if len(self.pieces) >= self.limit // 5:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
 
-    of = Memo(packed, limit).__getitem__
-    return UnitCoder(lambda unit: b"".join(map(of, find(unit))), limit // 2)
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit with the space before it."""
+        if self.plain and unit.isascii():
+            if unit.isalpha():
+                return self._packed(f" {unit}")
+            if unit[-1:] in ENDS and (word := unit[:-1]).isalpha():
+                return (self.known.get(word) or self.elder.get(word) or self._packed(f" {word}")) + self._piece(unit[-1])
+        return b"".join(map(self._piece, self.find(f" {unit}")))
+
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
+        cut = [(_cut(t) if _odd(t) else t.split(" ")) if t else [""] for t in texts]
+        heads = [b"".join(map(self._piece, self.find(c.pop(0)))) for c in cut]
+        wanted = set().union(*cut)
+        if len(self.known) + len(wanted - self.known.keys()) > self.limit:
+            self.elder, self.known = self.known, {}
+        known, elder, unit = self.known, self.elder.get, self._unit
+        new = wanted - known.keys()
+        for u in new:
+            known[u] = elder(u) or unit(u)
+        out = [head + b"".join(map(known.__getitem__, c)) for head, c in zip(heads, cut)]
+        for u in [u for u in new if len(u) > LONG]:
+            del known[u]
+        return out
 
 
 def bpe_coder(ranks: dict[bytes, int], pattern: str) -> UnitCoder:
-    return unit_coder(lambda piece: merge(piece.encode(), ranks), pattern)
+    return UnitCoder(lambda piece: merge(piece.encode(), ranks), pattern)
 
 
 _coders: dict[tuple[bytes, str], UnitCoder] = {}
 MEMOS.append(_coders)
+_tokens: dict[bytes, dict[int, bytes]] = {}
 
 
 def _coder(raw: bytes, pattern: str) -> UnitCoder:
@@ -202,6 +215,15 @@ def _coder(raw: bytes, pattern: str) -> UnitCoder:
     return _coders[key]
 
 
+def _decoder(raw: bytes) -> Callable[[list[int]], bytes]:
+    key = hashlib.sha256(raw).digest()
+    if key not in _tokens:
+        _tokens.clear()
+        _tokens[key] = {rank: x for x, rank in read_ranks(raw).items()}
+    token = _tokens[key].__getitem__
+    return lambda ids: b"".join(map(token, ids))
+
+
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     keep = [i for i, x in enumerate(batch.schema.names) if x != name]
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [values], [batch.schema.names[i] for i in keep] + [name])
@@ -224,9 +246,11 @@ def encode(df: DataFrame, raw: bytes, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for batch in slices(batches):
-            column = batch.column(batch.schema.get_field_index(text))
-            yield with_column(batch, ids, id_lists([coder(t) for t in column.to_pylist()]))
+        for batch in slices(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            with uncollected():
+                codes = coder(texts)
+            yield with_column(batch, ids, id_lists(codes))
 
     return df.mapInArrow(run, schema_with(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -236,17 +260,42 @@ def decode(df: DataFrame, raw: bytes, ids: str = "ids", decoded: str = "decoded"
     shared = df.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: x for x, rank in read_ranks(shared.value).items()}.__getitem__
+        joined = _decoder(shared.value)
         for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index(ids))
             offsets, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
             valid = column.is_valid().to_pylist()
-            parts = [b"".join(map(token, values[a:b].tolist())) if v else b"" for v, (a, b) in zip(valid, pairwise(offsets))]
+            parts = [joined(values[a:b].tolist()) if v else b"" for v, (a, b) in zip(valid, pairwise(offsets))]
             yield with_column(batch, decoded, pa.array(parts, pa.binary()))
 
     return df.mapInArrow(run, schema_with(df, decoded, T.BinaryType()))
 
 
+def there_and_back(df: DataFrame, raw: bytes, pattern: str, decoded: bool = True, text: str = "text") -> DataFrame:
+    """``df`` with ``text`` replaced by ``ids`` and what the ids decode to: its bytes as ``decoded``, or, without them,
+    whether they are the text's as ``round_trip``. One kernel does both ways, so ids don't travel in between; columns
+    of ``df`` with these names are replaced.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(raw)
+    name = "decoded" if decoded else "round_trip"
+    slim = df.select(*[c for c in df.columns if c not in (name, "ids")])
+    out = T.StructType([f for f in slim.schema.fields if f.name != text])
+    out = out.add("ids", T.ArrayType(T.IntegerType())).add(name, T.BinaryType() if decoded else T.BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, joined = _coder(shared.value, pattern), _decoder(shared.value)
+        for batch in slices(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            with uncollected():
+                codes = coder(texts)
+            back = (joined(memoryview(c).cast("i").tolist()) for c in codes)
+            told = pa.array(back, pa.binary()) if decoded else pa.array((b == (t or "").encode() for t, b in zip(texts, back)), pa.bool_())
+            keep = [i for i, x in enumerate(batch.schema.names) if x != text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], id_lists(codes), told], [*[batch.schema.names[i] for i in keep], "ids", name])
+
+    return slim.mapInArrow(run, out)
+
+
 def vocabulary(name: str) -> bytes:
     import public_tokenizers
 
@@ -262,7 +311,7 @@ def split_pattern() -> str:
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = vocabulary(RANKS)
-    coded = decode(encode(table(spark, sf_dir, "documents", "doc_id", "text"), raw, split_pattern()).drop("text"), raw)
+    coded = there_and_back(table(spark, sf_dir, "documents", "doc_id", "text"), raw, split_pattern())
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import MEMOS, partitions, scratch_path, slices, table
-from .bpe_codec import UnitCoder, id_lists, split_pattern, unit_coder, vocabulary
+from ._common import MEMOS, partitions, scratch_path, slices, table, uncollected
+from .bpe_codec import UnitCoder, id_lists, split_pattern, vocabulary
 
 END_ID = 0
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
@@ -39,34 +41,66 @@ LAYOUT = {
     "compression": "zstd",
 }
 
-_coders: dict[bytes, UnitCoder] = {}
+_coders: dict[tuple[bytes, bool], Callable[[Sequence[str | None]], list[bytes]]] = {}
 MEMOS.append(_coders)
 
 
-def _coder(raw: bytes) -> UnitCoder:
-    key = hashlib.sha256(raw).digest()
-    if key not in _coders:
-        from tokenizers import Tokenizer
+@cache
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte. Printable bytes of Latin-1 stand for
+    themselves, the others for the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def text_coder(raw: bytes, special_as_text: bool) -> Callable[[Sequence[str | None]], list[bytes]]:
+    """Whole texts to ids (int32 bytes) as ``Tokenizer.encode`` gives them without special tokens around the text.
+
+    Pre-tokens are split here and go to the library's model one at a time, since what its whole call adds (offsets,
+    masks, alignments) costs five times the merges; what was seen is kept. A text with a string of an added token
+    goes to the whole call.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(raw.decode())
+    tokenizer.encode_special_tokens = special_as_text
+    tokenize, letters = tokenizer.model.tokenize, byte_letters()
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+    units = UnitCoder(lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))], split_pattern())
 
-        tokenizer = Tokenizer.from_str(raw.decode())
-        tokenizer.encode_special_tokens = True
-        encode = tokenizer.encode
+    def coder(texts: Sequence[str | None]) -> list[bytes]:
+        marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
+        out = units([None if i in marked else t for i, t in enumerate(texts)])
+        for i in marked:
+            out[i] = array("i", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
+
+    return coder
+
+
+def _coder(raw: bytes, special_as_text: bool = False) -> Callable[[Sequence[str | None]], list[bytes]]:
+    key = hashlib.sha256(raw).digest(), special_as_text
+    if key not in _coders:
         _coders.clear()
-        _coders[key] = unit_coder(lambda piece: encode(piece, add_special_tokens=False).ids, split_pattern())
+        _coders[key] = text_coder(raw, special_as_text)
     return _coders[key]
 
 
-def write(docs: DataFrame, path: str, tokenizer: bytes, end_id: int = END_ID) -> None:
-    """Encode ``docs`` (doc_id, text) and write the store. ``tokenizer`` is the content of a tokenizers file whose
-    pre-tokens are the matches of ``split_pattern()``, as in byte-level ones."""
+def write(docs: DataFrame, path: str, tokenizer: bytes, end_id: int = END_ID, special_as_text: bool = False) -> None:
+    """Encode ``docs`` and write the store; of its columns only doc_id and text are read. ``tokenizer`` is the content
+    of a tokenizers file of the byte-level kind, whose pre-tokens are the matches of ``split_pattern()``. The string
+    of a special token in a text gives that token, as in the library's plain call, or ordinary text if asked for."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = _coder(shared.value), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            parts = [coder(t) + end for t in batch.column(1).to_pylist()]
+        coder, part, at = _coder(shared.value, special_as_text), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text"):
+            texts = batch.column(1).to_pylist()
+            with uncollected():
+                parts = [ids + end for ids in coder(texts)]
             counts = [len(p) // 4 for p in parts]
             starts = list(accumulate(counts, initial=at))
             at = starts.pop()

@@ -20,6 +20,7 @@ ROWS = [
     (4, LONG, "en", "s", 9),
     (5, "12 34 !!", "en", "s", 8),
     (5, "password=hunter2hunter2 é", "en", "s", 8),
+    (6, "der <|endoftext|> hand", "en", "s", 8),
 ]
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,6 +53,12 @@ def test_bpe(docs, none, spark):
     got = bpe_codec.decode(bpe_codec.encode(docs.withColumn("ids", docs["doc_id"]), raw, pattern), raw).collect()
     assert sorted(bytes(r["decoded"]) for r in got) == sorted((r[1] or "").encode() for r in ROWS)
     assert bpe_codec.encode(none, raw, pattern).count() == 0
+    clash = docs.withColumn("round_trip", docs["doc_id"])
+    both = bpe_codec.there_and_back(clash, raw, pattern, decoded=False)
+    assert "text" not in both.columns and [r["round_trip"] for r in both.collect()] == [True] * len(ROWS)
+    assert sorted(map(tuple, (r["ids"] for r in both.collect()))) == sorted(map(tuple, (r["ids"] for r in got)))
+    assert sorted(bytes(r["decoded"]) for r in bpe_codec.there_and_back(docs, raw, pattern).collect()) == sorted((r[1] or "").encode() for r in ROWS)
+    assert bpe_codec.there_and_back(none, raw, pattern).count() == 0
 
 
 def test_shards(docs, none):
@@ -79,7 +86,6 @@ def test_token_store(docs, none, spark):
 
     raw = bpe_codec.vocabulary("byte_bpe_50k.json")
     plain = Tokenizer.from_str(raw.decode())
-    plain.encode_special_tokens = True
     path = scratch_path(spark, "test-tokens")
     token_store.write(docs, path, raw)
     got = token_store.checksums(token_store.read(spark, path)).collect()
@@ -100,13 +106,15 @@ def test_token_store_layout(docs, spark):
 
     path = scratch_path(spark, "test-layout")
     token_store.write(docs, path, bpe_codec.vocabulary("byte_bpe_50k.json"))
-    columns = {}
+    columns = []
     for f in glob.glob(path.removeprefix("file:") + "/*.parquet"):
         group = pq.ParquetFile(f).metadata.row_group(0)
-        columns |= {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
-    assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
-    assert any("DICTIONARY" in e for e in columns["ids.list.element"].encodings)
-    assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+        columns += [group.column(i) for i in range(group.num_columns)]
+    assert all("DELTA_BINARY_PACKED" in c.encodings for c in columns if c.path_in_schema == "doc_id")
+    # a dictionary is given up where it would be no smaller, as in files of a few ids
+    ids = max((c for c in columns if c.path_in_schema == "ids.list.element"), key=lambda c: c.num_values)
+    assert ids.num_values > 10_000 and any("DICTIONARY" in e for e in ids.encodings)
+    assert all(c.has_offset_index and c.has_column_index for c in columns)
 
 
 def test_secrets(docs, none):

@@ -39,9 +39,30 @@ def test_coders_equal_the_libraries(text):
         raw = bpe_codec.vocabulary("byte_bpe_50k.json")
         state |= {"own": bpe_codec.bpe_coder(bpe_codec.read_ranks(bpe_codec.vocabulary(bpe_codec.RANKS)), bpe_codec.split_pattern()), "theirs": tiktoken_encoding()}
         state |= {"stored": token_store._coder(raw), "tokenizer": Tokenizer.from_str(raw.decode())}
-        state["tokenizer"].encode_special_tokens = True
-    assert ids(state["own"](text)) == state["theirs"].encode_ordinary(text)
-    assert ids(state["stored"](text)) == state["tokenizer"].encode(text, add_special_tokens=False).ids
+    assert ids(state["own"]([text])[0]) == state["theirs"].encode_ordinary(text)
+    assert ids(state["stored"]([text])[0]) == state["tokenizer"].encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_are_the_librarys_own():
+    from tokenizers import Tokenizer
+
+    raw = bpe_codec.vocabulary("byte_bpe_50k.json")
+    text = "a <|endoftext|> b<|endoftext|>, c <|endoftext"
+    for as_text in (False, True):
+        tokenizer = Tokenizer.from_str(raw.decode())
+        tokenizer.encode_special_tokens = as_text
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert (50256 in want) != as_text
+        assert np.frombuffer(token_store.text_coder(raw, as_text)([None, text, "a b"])[1], "<i4").tolist() == want
+
+
+def test_units_are_relearnt_when_few_are_kept():
+    encoding, ranks = tiktoken_encoding(), bpe_codec.read_ranks(bpe_codec.vocabulary(bpe_codec.RANKS))
+    coder = bpe_codec.UnitCoder(lambda p: bpe_codec.merge(p.encode(), ranks), bpe_codec.split_pattern(), 20)
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["word", "end.", "x" * 70, "é,", "12", "a\nb", "", "it's"], 12)) + str(rng.integers(99)) for _ in range(4)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in coder(texts)] == [encoding.encode_ordinary(t) for t in texts]
 
 
 def test_bpe_query(spark, small, docs):
