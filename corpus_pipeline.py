@@ -44,9 +44,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
     raw = bpe_codec.vocabulary(bpe_codec.RANKS)
-    coded = bpe_codec.decode(bpe_codec.encode(docs.select(*COLUMNS), raw, bpe_codec.split_pattern()), raw)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
+    coded = bpe_codec.there_and_back(docs.select("doc_id", "lang", "source", "text"), raw, bpe_codec.split_pattern(), decoded=False)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
