@@ -1,12 +1,7 @@
-"""Near-duplicates by the likeness (Jaccard) of their sets of shingles.
+"""Likeness (Jaccard) of texts' sets of word shingles: the exact check behind candidates found otherwise.
 
-Candidates are found by MinHash: ``bands`` bucket keys of ``rows`` minima each. A pair of likeness s shares a bucket
-with probability 1 - (1 - s^rows)^bands: with 16 bands of 4 rows 0.9998 at 0.8 and more above. Those that meet are
-compared by their whole sets (64-bit hashes of shingles), and linked if their likeness is at least the given one; see
-``meet`` for how large buckets are compared. Components of the links are the classes.
-
-Texts with equal sets are one node, so null and empty texts are one class. Sets are rebuilt from the texts of nodes
-that share a bucket with another, and not kept for others.
+Sets are of 64-bit hashes of shingles and made only for texts that are asked for. Edge cases: null and empty texts
+have empty sets, which are like nothing here (equal sets are one node and never compared).
 """
 
 from __future__ import annotations
@@ -19,63 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
-from ._common import forget, materialise, slices
-from .simhash_ball import mixed, shingle_hashes
-
-
-def bucket_keys(values: np.ndarray, bands: int, rows: int) -> list[int]:
-    """A key for each band; none for an empty set."""
-    if not len(values):
-        return []
-    least = np.array([mixed(values, t + 1).min() for t in range(bands * rows)], np.uint64).reshape(bands, rows)
-    keys = np.arange(bands, dtype=np.uint64)
-    for r in range(rows):
-        keys = mixed(keys ^ least[:, r], r + 1)
-    return keys.view(np.int64).tolist()
-
-
-def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, text_hash, node, buckets`` of ``docs`` (doc_id, text); the node names the set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        forget()
-        for batch in slices(batches):
-            nodes, buckets = [], []
-            for text in batch.column(2).to_pylist():
-                values = np.unique(shingle_hashes(text or "", words))
-                nodes.append(xxh64_intdigest(values.tobytes()) - (1 << 63))
-                buckets.append(bucket_keys(values, bands, rows))
-            made = [pa.array(nodes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "text_hash", "node", "buckets"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return slim.mapInArrow(run, "doc_id long, text_hash long, node long, buckets array<long>")
+from ._common import slices
+from .shingles import shingle_hashes
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``node, payload`` of ``texts`` (node, text): the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
+        for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(text or "", words)).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "payload"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, payload array<long>")
 
 
-def _near(likeness: float) -> Callable[[Column, Column], Column]:
-    def near(p: Column, q: Column) -> Column:
-        both = F.size(F.array_intersect(p, q))
-        possible = F.least(F.size(p), F.size(q)) / F.greatest(F.size(p), F.size(q)) >= likeness
-        return possible & (both / (F.size(p) + F.size(q) - both) >= likeness)
+def alike(p: Column, q: Column, likeness: float) -> Column:
+    both = F.size(F.array_intersect(p, q))
+    possible = F.least(F.size(p), F.size(q)) / F.greatest(F.size(p), F.size(q)) >= likeness
+    return possible & (both / (F.size(p) + F.size(q) - both) >= likeness)
 
-    return near
 
+def kernel(likeness: float) -> meet.Kernel:
+    """The same about the sets of a block, for ``meet.rest``."""
 
-def _kernel(likeness: float) -> meet.Kernel:
-    def kernel(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    def of(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
         sizes = np.array([len(s) for s in sets])
         starts = np.concatenate([[0], sizes.cumsum()])
         known, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -88,20 +51,4 @@ def _kernel(likeness: float) -> meet.Kernel:
 
         return near_to
 
-    return kernel
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """``doc_id, text_hash, component_id, class``, a row for each of ``docs``, as that of ``simhash_ball``."""
-    found = materialise(sketches(docs, words, bands, rows), "sketches")
-    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("buckets").alias("buckets")), "nodes")
-    met = meet.shared(nodes.select(F.explode("buckets").alias("bucket"), "node"))
-    wanted = nodes.join(met.select("node").distinct(), "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    texts = docs.join(wanted, same).select("node", "text").dropDuplicates(["node"])
-    sets = materialise(shingle_sets(texts, words), "sets")
-    linked = nodes.join(meet.roots(met, sets, _near(likeness), _kernel(likeness)), "node", "left").select("node", "first", F.coalesce("root", "node").alias("class"))
-    least = linked.groupBy("class").agg(F.min("first").alias("component_id"))
-    classes = materialise(linked.join(least, "class").select("node", "component_id", "class"), "classes")
-    return found.join(classes, "node").select("doc_id", "text_hash", "component_id", "class")
+    return of

@@ -5,7 +5,9 @@ before it and the first, which joins most of what belongs together. Buckets that
 are compared in full: those outside a bucket's largest component meet each other and all of it, dealt out in blocks
 of about ``BLOCK`` nodes, and a kernel compares the pairs of a block whose ends are in different components. Its
 links number at most the nodes of the block, so rows don't grow with the pairs, and no pair that meets is left out
-unless its ends are linked already.
+unless its ends are linked already. Buckets of equal nodes are compared once.
+
+A caller lists ``first_pairs``, checks them, and passes the links found to ``roots``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import forget, materialise
@@ -23,7 +25,7 @@ from .components import components
 FEW, BLOCK, SALTED = 8, 256, 1024
 
 #: Given the payloads of a block: a function from a place in it to a mask of the places near it.
-Kernel = Callable[[list[np.ndarray]], Callable[[int], np.ndarray]]
+Kernel = Callable[[list], Callable[[int], np.ndarray]]
 
 
 def shared(posted: DataFrame) -> DataFrame:
@@ -32,16 +34,13 @@ def shared(posted: DataFrame) -> DataFrame:
     return materialise(posted.join(counts, "bucket"), "shared")
 
 
-def roots(met: DataFrame, payloads: DataFrame, near: Callable[[Column, Column], Column], kernel: Kernel) -> DataFrame:
-    """``node, root`` for nodes of ``met`` (from ``shared``) that are linked; ``payloads`` has ``node, payload
-    array<long>``, and ``near`` and ``kernel`` decide the same about two of them."""
-    found = materialise(_checked(_first_pairs(met), payloads, near), "first-links")
-    first = components(found)
-    more = materialise(_rest(met.where(F.col("n") > FEW), first, payloads, kernel), "rest-links")
-    return components(found.unionByName(more)) if more.head(1) else first
+def large(met: DataFrame) -> DataFrame:
+    """Those of ``met`` whose bucket's pairs aren't all among the first ones."""
+    return met.where(F.col("n") > FEW)
 
 
-def _first_pairs(met: DataFrame) -> DataFrame:
+def first_pairs(met: DataFrame) -> DataFrame:
+    """``node, before``, distinct, of ``met`` (bucket, node, n): all pairs of small buckets, a few of large ones."""
     few = F.col("n") <= FEW
     dealt = met.withColumn("salt", F.when(few, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALTED))).cast("long"))
     order = Window.partitionBy("bucket", "salt").orderBy("node")
@@ -53,16 +52,22 @@ def _first_pairs(met: DataFrame) -> DataFrame:
     return pairs.select("node", F.explode(F.array_distinct(F.array_compact("earlier"))).alias("before")).where("before <> node").distinct()
 
 
-def _checked(pairs: DataFrame, payloads: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    a = payloads.select("node", F.col("payload").alias("p"))
-    b = payloads.select(F.col("node").alias("before"), F.col("payload").alias("q"))
-    return pairs.join(a, "node").join(b, "before").where(near(F.col("p"), F.col("q"))).select(F.col("before").alias("a"), F.col("node").alias("b"))
+def roots(met: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
+    """``node, root`` for nodes of ``met`` that are linked: by ``found`` (a, b), links among the first pairs, or in
+    large buckets by ``kernel`` over ``payloads`` (node, payload; all nodes of large buckets have one)."""
+    found = materialise(found, "first-links")
+    first = components(found)
+    more = materialise(_rest(large(met), first, payloads, kernel), "rest-links")
+    return components(found.unionByName(more)) if more.head(1) else first
 
 
-def _rest(large: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
-    placed = large.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    split = parts.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+def _rest(crowded: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
+    placed = crowded.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed, "placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node") % (1 << 40)).alias("mark"))
+    split = parts.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.sum("mark").alias("mark"), F.count("*").alias("parts"))
+    # many buckets hold the same nodes: one of them will do
+    split = split.where("parts > 1").groupBy("n", "mark").agg(F.min_by(F.struct("bucket", "main", "k"), "bucket").alias("one")).select("n", "one.*")
     split = split.select("bucket", "main", F.ceil((F.col("n") - F.col("k")) / BLOCK).alias("strays"), F.ceil(F.col("k") / BLOCK).alias("mains"))
     within = placed.join(split, "bucket")
     own = F.when(F.col("root") == F.col("main"), F.col("strays") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("strays")))
@@ -73,7 +78,8 @@ def _rest(large: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kerne
     def run(block: pa.Table) -> pa.Table:
         forget()
         node, part = (np.asarray(block.column(c).to_pylist(), np.int64) for c in ("node", "root"))
-        near_to = kernel([np.asarray(p, np.int64) for p in block.column("payload").to_pylist()])
+        payload = block.column("payload").to_pylist()
+        near_to = kernel([np.asarray(p, np.int64) if isinstance(p, list) else p for p in payload])
         ends = []
         for x in range(len(node) - 1):
             apart = part[x + 1 :] != part[x]

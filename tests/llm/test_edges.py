@@ -73,11 +73,12 @@ def test_shards(docs, none):
 def test_simhash(docs, none):
     got = simhash_ball.near_duplicates(docs, words=3).collect()
     assert len(got) == len(ROWS)
-    assert {r["component_id"] for r in got if r["prints"] == [0]} == {2}  # null and empty texts; a null id doesn't name it
-    kept = simhash_ball.keep_one(docs, words=3)
-    assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((r[0] or 0, r[1] or "") for r in {ROWS[0], ROWS[2], *ROWS[6:], ROWS[4]})
-    assert simhash_ball.keep_one(docs, broadcast_rows=-1, words=3).count() == kept.count()
+    assert {r["component_id"] for r in got if r["node"] == 0} == {2}  # null and empty texts; a null id doesn't name it
+    for find in (simhash_ball.near_texts, simhash_ball.near_duplicates):
+        kept = simhash_ball.keep_one(docs, find=find, words=3)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((r[0] or 0, r[1] or "") for r in {ROWS[0], ROWS[2], *ROWS[6:], ROWS[4]})
+        assert simhash_ball.keep_one(docs, broadcast_rows=-1, find=find, words=3).count() == kept.count()
     assert simhash_ball.near_duplicates(none).count() == 0 and simhash_ball.keep_one(none).count() == 0
 
 

@@ -8,7 +8,7 @@ from compare import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from matchloom.llm import bpe_codec, feistel_shard, imatch, langid_crf, media_copies, mixture, registry, secret_index, simhash_ball, token_store
+from matchloom.llm import bpe_codec, feistel_shard, imatch, langid_crf, media_copies, mixture, registry, secret_index, shingles, simhash_ball, token_store
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
@@ -112,7 +112,7 @@ def test_simhash_query(spark, small, docs):
     rows = registry.QUERIES["op4_simhash_ball"](spark, small).collect()
     prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
     for i in list(docs)[:60]:
-        assert prints[i] == simhash_ball.majority(simhash_ball.shingle_hashes(docs[i]["text"] or "", 3)) % (1 << 64)
+        assert prints[i] == simhash_ball.majority(shingles.shingle_hashes(docs[i]["text"] or "", 3)) % (1 << 64)
     ids, root = sorted(prints), {i: i for i in prints}
 
     def find(i):
