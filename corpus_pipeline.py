@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import bpe_codec, langid_crf, likeness, mixture, secret_index, simhash_ball
+from matchloom.llm import bpe_codec, langid_crf, mixture, secret_index, simhash_ball
 from matchloom.llm._common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near-duplicates: sets of five-word shingles of a likeness of 0.8; 16 bands of 4 minima meet at 0.8 in 0.9998 of cases.
-NEAR = {"find": likeness.near_duplicates, "words": 5, "likeness": 0.8, "bands": 16, "rows": 4}
+#: Near-duplicates: sets of five-word shingles of a likeness of 0.8; candidates meet in 16 SimHash tables of 32 bits.
+NEAR = {"find": simhash_ball.near_texts, "words": 5, "least": 0.8}
 #: Of the expected tokens of toxic documents a twentieth stays; no document is repeated, others stay whole.
 KEEP, MAX_RATE = {"toxic": 0.05}, 1.0
 
