@@ -20,9 +20,9 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from heapq import heappop, heappush
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -137,69 +137,88 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 #: A space before anything but white space always begins a pre-token, so texts can be cut there before the pattern.
 _cut = re.compile(r" (?=\S)").split
 _odd = re.compile(r" (?:\s|$)").search
-#: Signs that end a word and stand as pre-tokens of their own after it.
-ENDS = frozenset(",.;:!?")
+#: Plain words, of Latin letters and perhaps a sign that ends them, which is a pre-token of its own.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_plain = re.compile(rf"([{LETTERS}]+)([,.;:!?]?)").fullmatch
 LONG = 64  # characters of units that aren't kept
 
 
 class UnitCoder:
-    """Whole texts to ids (int32 bytes): cut at such spaces, new units cut by ``pattern`` and coded by ``code``, which
-    takes one pre-token. Where the pattern keeps plain words (ASCII letters after a space) whole, and signs that end
-    one apart, such units are cut without it.
+    """Whole texts to ids (int32 bytes): cut at such spaces, new units cut by ``pattern``, and ``code`` gives the ids
+    of a list of pre-tokens. Where the pattern keeps plain words whole and their ends apart, they are cut without it.
 
     Units are known in two generations: when the younger has ``limit`` entries it becomes the elder, and what is asked
     for again moves back into the younger. A call learns all the new units of its texts at once.
     """
 
-    def __init__(self, code: Callable[[str], Sequence[int]], pattern: str, limit: int = MEMO) -> None:
+    def __init__(self, code: Callable[[list[str]], list[Sequence[int]]], pattern: str, limit: int = MEMO) -> None:
         import regex
 
         self.code, self.find, self.limit = code, regex.compile(pattern).findall, limit
-        self.plain = all(self.find(f" ab{e}") == [" ab", e] for e in ENDS) and self.find(" ab") == [" ab"]
+        word = "".join(c for c in map(chr, range(65, 592)) if _plain(c))
+        self.plain = _plain if all(self.find(f" {word}{e}") == [f" {word}", e] for e in ",.;:!?") else lambda unit: None
         self.known: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}  # of units that aren't plain
-
-    def _packed(self, piece: str) -> bytes:
-        return array("i", self.code(piece)).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self._packed(piece)
-            if len(piece) <= LONG:
-                if len(self.pieces) >= self.limit // 5:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a unit with the space before it."""
-        if self.plain and unit.isascii():
-            if unit.isalpha():
-                return self._packed(f" {unit}")
-            if unit[-1:] in ENDS and (word := unit[:-1]).isalpha():
-                return (self.known.get(word) or self.elder.get(word) or self._packed(f" {word}")) + self._piece(unit[-1])
-        return b"".join(map(self._piece, self.find(f" {unit}")))
+        self.pieces: dict[str, bytes] = {}  # pre-tokens of units that aren't plain words
+
+    def _packed(self, pieces: list[str]) -> Iterator[bytes]:
+        coded = self.code(pieces)
+        data = array("i", chain.from_iterable(coded)).tobytes()
+        ends = accumulate((4 * len(c) for c in coded), initial=0)
+        return (data[a:b] for a, b in pairwise(ends))
+
+    def _cut_and_coded(self, strings: list[str]) -> list[bytes]:
+        """Ids of strings that the pattern cuts."""
+        cut = [self.find(x) for x in strings]
+        if len(self.pieces) > self.limit // 5:
+            self.pieces.clear()
+        pieces = self.pieces
+        new = [p for p in set().union(*cut) if p not in pieces]
+        pieces.update(zip(new, self._packed(new)))
+        out = [b"".join(map(pieces.__getitem__, c)) for c in cut]
+        for p in [p for p in new if len(p) > LONG]:
+            del pieces[p]
+        return out
+
+    def _learn(self, new: Iterable[str]) -> list[str]:
+        """Add the new units, and return which were too long to keep."""
+        known, elder, plain = self.known, self.elder, self.plain
+        words, ended, others = [], [], []
+        for u in new:
+            if (ids := elder.get(u)) is not None:
+                known[u] = ids
+            elif (m := plain(u)) is None:
+                others.append(u)
+            elif m[2]:
+                ended.append((u, *m.groups()))
+            else:
+                words.append(u)
+        met = {w for _, w, _ in ended if w not in known}
+        met.difference_update(words)
+        known.update((w, elder[w]) for w in met if w in elder)
+        words += [w for w in met if w not in elder]
+        known.update(zip(words, self._packed([f" {w}" for w in words])))
+        ends = dict(zip(",.;:!?", self._packed(list(",.;:!?"))))
+        known.update((u, known[w] + ends[e]) for u, w, e in ended)
+        known.update(zip(others, self._cut_and_coded([f" {u}" for u in others])))
+        return [u for group in (words, others, (u for u, _, _ in ended)) for u in group if len(u) > LONG]
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         cut = [(_cut(t) if _odd(t) else t.split(" ")) if t else [""] for t in texts]
-        heads = [b"".join(map(self._piece, self.find(c.pop(0)))) for c in cut]
+        heads = self._cut_and_coded([c.pop(0) for c in cut])
         wanted = set().union(*cut)
-        if len(self.known) + len(wanted - self.known.keys()) > self.limit:
-            self.elder, self.known = self.known, {}
-        known, elder, unit = self.known, self.elder.get, self._unit
-        new = wanted - known.keys()
-        for u in new:
-            known[u] = elder(u) or unit(u)
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > self.limit:
+            self.elder, self.known, new = self.known, {}, wanted
+        long, known = self._learn(new), self.known
         out = [head + b"".join(map(known.__getitem__, c)) for head, c in zip(heads, cut)]
-        for u in [u for u in new if len(u) > LONG]:
+        for u in long:
             del known[u]
         return out
 
 
 def bpe_coder(ranks: dict[bytes, int], pattern: str) -> UnitCoder:
-    return UnitCoder(lambda piece: merge(piece.encode(), ranks), pattern)
+    return UnitCoder(lambda pieces: [merge(p.encode(), ranks) for p in pieces], pattern)
 
 
 _coders: dict[tuple[bytes, str], UnitCoder] = {}

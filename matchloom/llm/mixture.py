@@ -2,24 +2,30 @@
 
 Domains are learned from a labelled table: a naive Bayes classifier over hashed words gives each document a
 posterior over them. Document rates r >= 0 are then fitted so that the expected tokens of each domain,
-sum_i r_i w_i p_ik, meet the targets T_k: projected gradient steps on the least-squares misfit, preconditioned by
-the domains' Gram matrix G,
+A r = sum_i r_i w_i p_i, meet the targets T: the least squares
 
-    r_i <- clip(r_i - w_i p_i . G^-1 (A r - T), 0, max_rate),    r_i = 1 at first,
+    min_r  |A r - T|^2 (in the metric of (RIDGE G)^-1)  +  sum_i w_i (r_i - 1)^2,    0 <= r_i <= max_rate,
 
-A step of that length never raises the misfit; a few longer ones are tried in the same pass and the best is taken.
+so that of all rates that meet the targets those nearest to 1 are taken, and where none do, the nearest to doing it.
+G is the domains' Gram matrix, sum_i w_i p_i p_i'. The projected gradient is taken with lazy projection: a step moves
+a sum of gradients, which is a vector L with an entry for each domain, and the projection is made where it is read,
 
-Each step aggregates one number for each domain over all documents (partial sums, then K values to the driver) and
-the rates are a fold over the steps' K-vectors, so no state of the documents is kept or moved between steps.
+    r_i = clip(1 - p_i . L, 0, max_rate).
+
+Each step aggregates a few numbers for each domain over all documents (partial sums; K + K^2 values to the driver),
+and is preconditioned by the Gram matrix of the rows that are not at a bound, summed in the same pass; a few shorter
+steps are tried in that pass and the best is taken. So no state of the documents is kept or moved between steps, and
+a document's rate needs nothing but its posterior and L. Steps end when the optimum's equation holds to ``CLOSE`` of
+all tokens; whether it does is ``converged``, and how far shares are from their targets is ``residual``.
 A rate becomes copies: its whole part, and one more if a hash of the document falls under the rest.
 
 Everything that touches documents is made of DataFrame and SQL functions. The classifier is fitted on a bounded
 sample of labelled documents (``TRAIN_DOCS``, the least by a hash of the id); its table of ``BUCKETS`` weights for
 each domain is a literal of the plan. All documents get posteriors, tokens and rates.
 
-Edge cases: a null or empty text has no tokens and keeps the prior as its posterior, so its rate stays at 1; a
-domain without labelled documents isn't learned and its target is dropped; without labels there is one domain;
-repeated rows are rated alike; an empty table gives an empty result.
+Edge cases: a null or empty text has no tokens and keeps a rate of 1; a domain without labelled documents isn't
+learned and its target is dropped; without labels there is one domain; repeated rows are rated alike; an empty table
+gives an empty result. Extra columns of any names pass through ``resample``: documents travel as one column.
 """
 
 from __future__ import annotations
@@ -35,8 +41,8 @@ from ._common import materialise, table
 BUCKETS = 1 << 13
 TRAIN_DOCS = 6_000
 LEAST_Z, LEAST_RATIO = 3.0, 3.0
-STEPS, CLOSE = 12, 2e-3
-LENGTHS = (1.0, 4.0, 16.0)
+STEPS, CLOSE, RIDGE = 100, 1e-6, 1e-5
+LENGTHS = (1.0, 0.5, 0.2, 0.05)
 SMOOTHING = 0.5
 #: Shares of all tokens: of documents like those labelled toxic, and of the others by quality.
 TARGETS = {"high": 0.90, "low": 0.09, "toxic": 0.01}
@@ -114,65 +120,91 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return exps.select(*docs.columns, "_w", *[(F.col(f"_e{k}") / total).alias(f"_p{k}") for k in range(n)])
 
 
-def moved(rate: Column, step: list[Column], max_rate: float | None) -> Column:
-    """One clipped step from ``rate``, by ``_w`` and ``_p*``."""
-    move = sum((F.col(f"_p{k}") * x for k, x in enumerate(step[1:], 1)), F.col("_p0") * step[0])
-    rate = F.greatest(F.lit(0.0), rate - F.col("_w") * move)
-    return rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
+def rate_of(gradient: np.ndarray, max_rate: float | None) -> Column:
+    """The rate of a row with ``_w`` and ``_p*``."""
+    rate = F.lit(1.0)
+    for k, x in enumerate(gradient):
+        rate = rate - F.col(f"_p{k}") * F.lit(float(x))
+    rate = F.greatest(F.lit(0.0), rate)
+    rate = rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
+    return F.when(F.col("_w") > 0, rate).otherwise(F.lit(1.0))
+
+
+@dataclass
+class Rates:
+    """The sum of gradients, and what it reaches: tokens by domain, the targets, and whether steps have ended."""
 
+    gradient: np.ndarray
+    have: np.ndarray
+    want: np.ndarray
+    converged: bool
+    steps: int
 
-def rate_of(steps: list[np.ndarray], max_rate: float | None) -> Column:
-    """The rate after the given steps, from ``_w`` and ``_p*`` alone: a fold, so that plans stay small."""
-    if not steps:
-        return F.lit(1.0)
-    n = len(steps[0])
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(listed, F.lit(1.0), lambda r, s: moved(r, [F.get(s, F.lit(k)) for k in range(n)], max_rate))
+    @property
+    def residual(self) -> float:
+        """The largest distance of a domain's share of tokens from its target."""
+        return float(np.abs(self.have - self.want).max() / self.want.sum()) if self.want.sum() else 0.0
 
 
-def fit_rates(weighed: DataFrame, targets: np.ndarray | None, shares: np.ndarray | None, max_rate: float | None, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps of the projected gradient, the targets in tokens, and the tokens reached, from ``_w`` and ``_p*``."""
+def fit_rates(weighed: DataFrame, targets: np.ndarray | None, shares: np.ndarray | None, max_rate: float | None, steps: int = STEPS) -> Rates:
+    """Rates for ``targets`` in tokens or ``shares`` of all tokens, from ``_w`` and ``_p*``."""
     n = sum(c.startswith("_p") for c in weighed.columns)
     mass = [F.col("_w") * F.col(f"_p{k}") for k in range(n)]
     pairs = [(j, k) for j in range(n) for k in range(j, n)]
 
-    def square(upper: list[float | None]) -> np.ndarray:
-        gram = np.zeros((n, n))
-        for (j, k), x in zip(pairs, upper):
-            gram[j, k] = gram[k, j] = x or 0.0
-        return gram
-
-    row = weighed.agg(*[F.sum(m) for m in mass], *[F.sum(mass[j] * mass[k]) for j, k in pairs]).first()
-    have = np.array([x or 0.0 for x in row[:n]])
-    inverse = np.linalg.pinv(square(row[n:]))
-    want = targets if targets is not None else shares * have.sum()
-    misfit = lambda x: (x - want) @ inverse @ (x - want)
-    taken: list[np.ndarray] = []
-    while have.sum() and len(taken) < steps and np.abs(have - want).max() > CLOSE * want.sum():
-        tried = [length * (inverse @ (have - want)) for length in LENGTHS]
-        frame = weighed.withColumn("_r", rate_of(taken, max_rate))
-        frame = frame.select("*", *[moved(F.col("_r"), [F.lit(float(x)) for x in t], max_rate).alias(f"_r{i}") for i, t in enumerate(tried)])
-        sums = frame.agg(*[F.sum(F.col(f"_r{i}") * m) for i in range(len(tried)) for m in mass]).first()
-        each = np.array([x or 0.0 for x in sums]).reshape(len(tried), n)
-        best = int(np.argmin([misfit(x) for x in each]))
-        if misfit(each[best]) >= misfit(have) * (1 - 1e-6):
+    def sums(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens by domain, and the Gram matrix of rows between the bounds, for each of the gradients tried."""
+        frame = weighed.select("*", *[rate_of(g, max_rate).alias(f"_r{i}") for i, g in enumerate(tried)])
+        wanted = []
+        for i in range(len(tried)):
+            r = F.col(f"_r{i}")
+            free = r > 0 if max_rate is None else (r > 0) & (r < max_rate)
+            loose = F.when(free, F.lit(1.0)).otherwise(F.lit(0.0))
+            wanted += [F.sum(r * m) for m in mass] + [F.sum(loose * mass[j] * F.col(f"_p{k}")) for j, k in pairs]
+        row = np.array([x or 0.0 for x in frame.agg(*wanted).first()]).reshape(len(tried), -1)
+        out = []
+        for x in row:
+            gram = np.zeros((n, n))
+            for (j, k), v in zip(pairs, x[n:]):
+                gram[j, k] = gram[k, j] = v
+            out.append((x[:n], gram))
+        return out
+
+    have, gram = sums([np.zeros(n)])[0]
+    total = have.sum()
+    want = targets if targets is not None else shares * total
+    if not total:
+        return Rates(np.zeros(n), have, want, True, 0)
+    if max_rate is not None and max_rate <= 1:  # then all rows are at a bound at first, and free to leave it
+        gram = sums([np.full(n, 1e-9)])[0][1]
+    ridge = RIDGE * (gram + 1e-12 * total * np.eye(n))
+    inverse = np.linalg.inv(ridge)
+    at, taken = np.zeros(n), 0
+    miss = lambda have, at: have - want - ridge @ at  # noqa: E731  zero at the optimum
+    size = lambda x: float(x @ inverse @ x)
+    while np.abs(miss(have, at)).max() > CLOSE * total and taken < steps:
+        step = np.linalg.solve(gram + ridge, miss(have, at))
+        tried = [at + length * step for length in LENGTHS]
+        each = sums(tried)
+        best = min(range(len(tried)), key=lambda i: size(miss(each[i][0], tried[i])))
+        if size(miss(each[best][0], tried[best])) >= size(miss(have, at)):
             break
-        taken, have = [*taken, tried[best]], each[best]
-    return taken, want, have
+        at, (have, gram), taken = tried[best], each[best], taken + 1
+    return Rates(at, have, want, bool(np.abs(miss(have, at)).max() <= CLOSE * total), taken)
 
 
 @dataclass
 class Mixture:
-    """A fitted mixture: what rates any document needs but its text."""
+    """A fitted mixture: all that any document's rate needs but its text."""
 
     model: Classifier
-    steps: list[np.ndarray]
+    rates: Rates
     max_rate: float | None
 
     def rated(self, weighed: DataFrame) -> DataFrame:
         """``weighed`` (from ``with_posteriors``, with doc_id) plus ``rate`` and ``copies``."""
         chance = F.pmod(F.xxhash64("doc_id", "_w", F.lit(5)), F.lit(1 << 53)) / float(1 << 53)
-        return weighed.withColumn("rate", rate_of(self.steps, self.max_rate)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+        return weighed.withColumn("rate", rate_of(self.rates.gradient, self.max_rate)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
 def fit_mixture(
@@ -196,19 +228,21 @@ def fit_mixture(
     else:
         part = np.array([(shares or TARGETS).get(d, 0.0) for d in model.domains])
         want, part = None, part / part.sum() if part.sum() else np.full(len(part), 1 / len(part))
-    steps, _, _ = fit_rates(weighed, want, part, max_rate)
-    return Mixture(model, steps, max_rate), weighed
+    return Mixture(model, fit_rates(weighed, want, part, max_rate), max_rate), weighed
 
 
 def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs``, each row as often as its rate says. Posteriors are written beside the texts, which costs less than a
     shuffle of the texts to join them."""
-    mixture, weighed = fit_mixture(docs, labels, drop=(), **how)
+    whole = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("_")]).alias("_rest"))
+    mixture, weighed = fit_mixture(whole, labels, drop=(), **how)
     drawn = mixture.rated(weighed).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return drawn.select(*docs.columns)
+    return drawn.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; ``converged`` and ``residual`` are those of the whole fit."""
     mixture, narrow = fit_mixture(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
     posteriors = [F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(mixture.model.domains)]
-    return mixture.rated(narrow).select("doc_id", F.col("_w").alias("n_tokens"), *posteriors, "rate", "copies")
+    fit = [F.lit(mixture.rates.converged).alias("converged"), F.lit(mixture.rates.residual).alias("residual")]
+    return mixture.rated(narrow).select("doc_id", F.col("_w").alias("n_tokens"), *posteriors, "rate", "copies", *fit)

@@ -67,7 +67,12 @@ def text_coder(raw: bytes, special_as_text: bool) -> Callable[[Sequence[str | No
     tokenizer.encode_special_tokens = special_as_text
     tokenize, letters = tokenizer.model.tokenize, byte_letters()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
-    units = UnitCoder(lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))], split_pattern())
+
+    def code(pieces: list[str]) -> list[list[int]]:
+        written = (p.encode().decode("latin-1").translate(letters) for p in pieces)
+        return [[t.id for t in tokenize(w)] for w in written]
+
+    units = UnitCoder(code, split_pattern())
 
     def coder(texts: Sequence[str | None]) -> list[bytes]:
         marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}

@@ -58,10 +58,10 @@ def test_special_strings_are_the_librarys_own():
 
 def test_units_are_relearnt_when_few_are_kept():
     encoding, ranks = tiktoken_encoding(), bpe_codec.read_ranks(bpe_codec.vocabulary(bpe_codec.RANKS))
-    coder = bpe_codec.UnitCoder(lambda p: bpe_codec.merge(p.encode(), ranks), bpe_codec.split_pattern(), 20)
+    coder = bpe_codec.UnitCoder(lambda ps: [bpe_codec.merge(p.encode(), ranks) for p in ps], bpe_codec.split_pattern(), 20)
     rng = np.random.default_rng(4)
     for _ in range(30):
-        texts = [" ".join(rng.choice(["word", "end.", "x" * 70, "é,", "12", "a\nb", "", "it's"], 12)) + str(rng.integers(99)) for _ in range(4)]
+        texts = [" ".join(rng.choice(["word", "end.", "word,", "x" * 70, "y" * 70 + "!", "é,", "12", "a\nb", "", "it's"], 12)) + str(rng.integers(99)) for _ in range(4)]
         assert [np.frombuffer(x, "<i4").tolist() for x in coder(texts)] == [encoding.encode_ordinary(t) for t in texts]
 
 
