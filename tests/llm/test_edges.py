@@ -199,13 +199,65 @@ def test_chat(spark):
         (2, None, "assistant", ""),
         (None, 1, "us<er", "<|turn|>"),
     ]
+    rows += [(None, 1, "us<er", "<|turn|>"), (None, 0, "assistant", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    windows = chat_windows.windows(turns)
-    got = {r["conv_id"]: r for r in chat_windows.read_back(windows).collect()}
-    for conv in (1, 2, None):
+    windows = chat_windows.windows(turns.withColumn("window", turns["role"]).withColumn("n", turns["role"]))
+    read = chat_windows.read_back(windows).collect()
+    got = {r["conv_id"]: r for r in read if r["conv_id"]}
+    for conv in (1, 2):
         own = [(r or "", t or "") for c, _, r, t in rows if c == conv]
         assert [tuple(t) for t in got[conv]["turns"]] == own
         assert got[conv]["targets"] == [t for r, t in own if r == "assistant"]
+    alone = [[tuple(t) for t in r["turns"]] for r in read if r["conv_id"] is None]
+    assert sorted(alone) == [[("assistant", "")], [("us<er", "<|turn|>")], [("us<er", "<|turn|>")]]
     later = [r["formatted"] for r in windows.where("conv_id = 1 and window > 0").collect()]
-    assert later and all(w.startswith("<|past|>system") for w in later)
+    assert later and not all(w.startswith("<|past|>system") for w in later) and any(w.startswith("<|past|>system") for w in later)
     assert chat_windows.windows(turns.limit(0)).count() == 0
+
+
+def tokens(part):
+    """Of one formatted turn, read from the text alone."""
+    text = part.split(chat_windows.TEXT, 1)[1].replace("<.", "<")
+    return -(-len(text) // 4) + chat_windows.TURN_TOKENS
+
+
+def test_no_window_is_over_the_budget_unless_it_is_one_turn(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for conv in range(120):
+        system = int(rng.integers(-1, 4))
+        for turn in range(int(rng.integers(1, 30))):
+            role = "system" if turn == system else ("user", "assistant")[turn % 2]
+            size = int(rng.choice([3, 40, 200, 400, 900, 1500, 1700, 3000], p=[0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05]))
+            rows.append((conv, turn, role, "a<" * (size // 2)))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_windows.windows(turns).collect()
+    turns_of = {(c, t): (r, x) for c, t, r, x in rows}
+    alone = 0
+    at = {}
+    for w in sorted(found, key=lambda w: (w["conv_id"], w["window"])):
+        parts = w["formatted"].split(chat_windows.END)[:-1]
+        past = [p for p in parts if p.startswith(chat_windows.PAST)]
+        new = [p for p in parts if p.startswith(chat_windows.TURN)]
+        assert parts == past + new and new
+        total = sum(map(tokens, parts))
+        if total > chat_windows.BUDGET:
+            assert len(parts) == 1
+            alone += 1
+        # the window was full: the next turn wouldn't have fitted; and the repeated part is as large as it may be
+        first = at.get(w["conv_id"], 0)
+        at[w["conv_id"]] = first + len(new)
+        following = turns_of.get((w["conv_id"], first + len(new)))
+        if following:
+            assert total + -(-len(following[1]) // 4) + chat_windows.TURN_TOKENS > chat_windows.BUDGET
+        system = next((t for t in range(first) if turns_of[w["conv_id"], t][0] == "system"), None)
+        if system is not None:
+            n = -(-len(turns_of[w["conv_id"], system][1]) // 4) + chat_windows.TURN_TOKENS
+            assert any(p.startswith(chat_windows.PAST + "system") for p in past) == (n + tokens(new[0]) <= chat_windows.BUDGET)
+    assert alone > 10 and max(at.values()) > 20
+
+
+def test_a_long_conversation_stays_linear(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], "x" * 200) for t in range(20_000)]
+    out = chat_windows.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert out.selectExpr("sum(length(formatted))").first()[0] < 3 * 250 * len(rows)
