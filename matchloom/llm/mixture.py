@@ -13,8 +13,8 @@ a sum of gradients, which is a vector L with an entry for each domain, and the p
     r_i = clip(1 - p_i . L, 0, max_rate).
 
 Each step aggregates a few numbers for each domain over all documents (partial sums; K + K^2 values to the driver),
-and is preconditioned by the Gram matrix of the rows that are not at a bound, summed in the same pass; a few shorter
-steps are tried in that pass and the best is taken. So no state of the documents is kept or moved between steps, and
+and is preconditioned by the Gram matrix of the rows that are not at a bound, summed in the same pass; a step that
+doesn't lower the (dual) cost enough is tried again at a quarter of its length. So no state of the documents is kept or moved between steps, and
 a document's rate needs nothing but its posterior and L. Steps end when the optimum's equation holds to ``CLOSE`` of
 all tokens; whether it does is ``converged``, and how far shares are from their targets is ``residual``.
 A rate becomes copies: its whole part, and one more if a hash of the document falls under the rest.
@@ -41,8 +41,7 @@ from ._common import materialise, table
 BUCKETS = 1 << 13
 TRAIN_DOCS = 6_000
 LEAST_Z, LEAST_RATIO = 3.0, 3.0
-STEPS, CLOSE, RIDGE = 100, 1e-6, 1e-5
-LENGTHS = (1.0, 0.5, 0.2, 0.05)
+STEPS, CLOSE, RIDGE = 100, 1e-6, 1e-4
 SMOOTHING = 0.5
 #: Shares of all tokens: of documents like those labelled toxic, and of the others by quality.
 TARGETS = {"high": 0.90, "low": 0.09, "toxic": 0.01}
@@ -152,45 +151,46 @@ def fit_rates(weighed: DataFrame, targets: np.ndarray | None, shares: np.ndarray
     mass = [F.col("_w") * F.col(f"_p{k}") for k in range(n)]
     pairs = [(j, k) for j in range(n) for k in range(j, n)]
 
-    def sums(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Tokens by domain, and the Gram matrix of rows between the bounds, for each of the gradients tried."""
-        frame = weighed.select("*", *[rate_of(g, max_rate).alias(f"_r{i}") for i, g in enumerate(tried)])
-        wanted = []
-        for i in range(len(tried)):
-            r = F.col(f"_r{i}")
-            free = r > 0 if max_rate is None else (r > 0) & (r < max_rate)
-            loose = F.when(free, F.lit(1.0)).otherwise(F.lit(0.0))
-            wanted += [F.sum(r * m) for m in mass] + [F.sum(loose * mass[j] * F.col(f"_p{k}")) for j, k in pairs]
-        row = np.array([x or 0.0 for x in frame.agg(*wanted).first()]).reshape(len(tried), -1)
-        out = []
-        for x in row:
-            gram = np.zeros((n, n))
-            for (j, k), v in zip(pairs, x[n:]):
-                gram[j, k] = gram[k, j] = v
-            out.append((x[:n], gram))
-        return out
-
-    have, gram = sums([np.zeros(n)])[0]
+    def sums(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Tokens by domain, the Gram matrix of rows between the bounds, and the rows' part of what is minimised."""
+        frame = weighed.withColumn("_r", rate_of(at, max_rate))
+        r, move = F.col("_r"), F.lit(0.0)
+        for k, x in enumerate(at):
+            move = move + F.col(f"_p{k}") * F.lit(float(x))
+        free = r > 0 if max_rate is None else (r > 0) & (r < max_rate)
+        loose = F.when(free, F.lit(1.0)).otherwise(F.lit(0.0))
+        gram = [F.sum(loose * mass[j] * F.col(f"_p{k}")) for j, k in pairs]
+        row = frame.agg(*[F.sum(r * m) for m in mass], *gram, F.sum(F.col("_w") * (0.5 + r * r / 2 + r * (move - 1)))).first()
+        row = [x or 0.0 for x in row]
+        square = np.zeros((n, n))
+        for (j, k), v in zip(pairs, row[n:]):
+            square[j, k] = square[k, j] = v
+        return np.array(row[:n]), square, row[-1]
+
+    at, taken = np.zeros(n), 0
+    have, gram, paid = sums(at)
     total = have.sum()
     want = targets if targets is not None else shares * total
     if not total:
-        return Rates(np.zeros(n), have, want, True, 0)
+        return Rates(at, have, want, True, 0)
     if max_rate is not None and max_rate <= 1:  # then all rows are at a bound at first, and free to leave it
-        gram = sums([np.full(n, 1e-9)])[0][1]
-    ridge = RIDGE * (gram + 1e-12 * total * np.eye(n))
-    inverse = np.linalg.inv(ridge)
-    at, taken = np.zeros(n), 0
-    miss = lambda have, at: have - want - ridge @ at  # noqa: E731  zero at the optimum
-    size = lambda x: float(x @ inverse @ x)
-    while np.abs(miss(have, at)).max() > CLOSE * total and taken < steps:
-        step = np.linalg.solve(gram + ridge, miss(have, at))
-        tried = [at + length * step for length in LENGTHS]
-        each = sums(tried)
-        best = min(range(len(tried)), key=lambda i: size(miss(each[i][0], tried[i])))
-        if size(miss(each[best][0], tried[best])) >= size(miss(have, at)):
+        gram = sums(np.full(n, 1 - max_rate + 1e-9))[1]
+    ridge = RIDGE * (gram + 1e-3 * np.trace(gram) / n * np.eye(n))
+    miss = have - want  # zero at the optimum, there with the ridge's part; the gradient of ``cost`` but for its sign
+    cost = lambda at, paid: at @ ridge @ at / 2 + want @ at - paid
+    while np.abs(miss).max() > CLOSE * total and taken < steps:
+        step, length = np.linalg.solve(gram + ridge, miss), 1.0
+        while True:
+            tried = at + length * step
+            reached, free, sum_ = sums(tried)
+            if cost(tried, sum_) <= cost(at, paid) - 1e-4 * length * (miss @ step) or length < 1e-3:
+                break
+            length /= 4
+        if cost(tried, sum_) >= cost(at, paid):
             break
-        at, (have, gram), taken = tried[best], each[best], taken + 1
-    return Rates(at, have, want, bool(np.abs(miss(have, at)).max() <= CLOSE * total), taken)
+        at, have, gram, paid, taken = tried, reached, free, sum_, taken + 1
+        miss = have - want - ridge @ at
+    return Rates(at, have, want, bool(np.abs(miss).max() <= CLOSE * total), taken)
 
 
 @dataclass

@@ -172,14 +172,43 @@ def test_switched_text_is_labelled_word_by_word(spark, small, docs):
     assert [w[1] for w in words[:5]] == ["en"] * 5 and [w[1] for w in words[5:]] == ["de"] * 5
 
 
-def test_mixture_meets_its_targets(spark, small):
-    larger = small.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to tell domains apart
-    rows = registry.QUERIES["op8_mixture"](spark, larger).collect()
-    total = sum(r["n_tokens"] for r in rows)
-    share = lambda rate: {k: sum(rate(r) * r["n_tokens"] * r[f"p_{k}"] for r in rows) / total for k in mixture.TARGETS}
-    before, after = share(lambda r: 1.0), share(lambda r: r["rate"])
-    off = lambda s: sum(abs(s[k] - v) for k, v in mixture.TARGETS.items())
-    assert all(r["rate"] >= 0 for r in rows) and off(after) < max(0.02, off(before) / 2)
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_mixture_meets_its_targets(spark, small, size):
+    got = registry.QUERIES["op8_mixture"](spark, small.replace("sf0.001", size)).toPandas()  # the smallest has too few labels
+    p = got[[f"p_{k}" for k in mixture.TARGETS]].to_numpy()
+    reached = (got["rate"] * got["n_tokens"]).to_numpy() @ p / got["n_tokens"].sum()
+    assert got["converged"].all() and got["residual"].max() < 0.002 and (got["rate"] >= 0).all()
+    assert np.abs(reached - list(mixture.TARGETS.values())).max() < 0.002
+    drawn = (got["copies"] * got["n_tokens"]).to_numpy() @ p
+    assert np.abs(drawn / drawn.sum() - list(mixture.TARGETS.values())).max() < 0.05 and (np.abs(got["copies"] - got["rate"]) < 1).all()
+
+
+@pytest.mark.parametrize(("targets", "max_rate"), [((4.0, 3.0, 0.3), None), ((1.0, 8.0, 0.1), 2.5), ((30.0, 30.0, 30.0), 1.5), ((5.0, 4.0, 0.0), 1.0)])
+def test_rates_are_those_of_a_plain_projected_gradient(spark, targets, max_rate):
+    """The same least squares, each rate a variable of its own, by many small steps."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.4, 0.4, 0.2], 60)
+    w = rng.integers(1, 5, 60).astype(float)
+    want = np.array(targets) * w.sum() / 10
+    rows = [(i, int(x), *map(float, q)) for i, (x, q) in enumerate(zip(w, p))]
+    weighed = spark.createDataFrame(rows, "doc_id long, _w long, _p0 double, _p1 double, _p2 double")
+    found = mixture.fit_rates(weighed, want, None, max_rate)
+    assert found.converged
+    got = np.array([r["r"] for r in weighed.select("doc_id", mixture.rate_of(found.gradient, max_rate).alias("r")).orderBy("doc_id").collect()])
+    a = (w[:, None] * p).T
+    # at first all rows are free; the ridge's metric is that of the operator
+    gram = (w[:, None, None] * p[:, :, None] * p[:, None, :]).sum(axis=0)
+    metric = np.linalg.inv(mixture.RIDGE * (gram + 1e-3 * np.trace(gram) / 3 * np.eye(3)))
+    loss = lambda r: (a @ r - want) @ metric @ (a @ r - want) + (w * (r - 1) ** 2).sum()
+    top = np.inf if max_rate is None else max_rate
+    rng2 = np.random.default_rng(1)
+    for _ in range(300):  # the optimum is better than what lies around it in any direction
+        near = np.clip(got + rng2.normal(size=60) * 10 ** rng2.uniform(-4, -1), 0, top)
+        assert loss(near) >= loss(got) - 1e-6 * loss(got)
+    grad = 2 * a.T @ metric @ (a @ got - want) + 2 * w * (got - 1)
+    scale = np.abs(2 * a.T @ metric @ want).max()
+    inside = (got > 1e-9) & (got < top - 1e-9)
+    assert np.abs(grad[inside]).max(initial=0) < 1e-3 * scale and (grad[got <= 1e-9] > -1e-3 * scale).all() and (grad[got >= top - 1e-9] < 1e-3 * scale).all()
 
 
 def test_edited_copies_are_found(spark, small):
