@@ -38,16 +38,17 @@ def alike(p: Column, q: Column, likeness: float) -> Column:
 def kernel(likeness: float) -> meet.Kernel:
     """The same about the sets of a block, for ``meet.rest``."""
 
-    def of(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    def of(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
         sizes = np.array([len(s) for s in sets])
         starts = np.concatenate([[0], sizes.cumsum()])
         known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        each = np.split(ids, starts[1:-1])
 
-        def near_to(x: int) -> np.ndarray:
-            mine = np.zeros(len(known), np.int32)
-            mine[ids[starts[x] : starts[x + 1]]] = 1
-            both = np.add.reduceat(mine[ids], starts[:-1])
-            return both / (sizes + sizes[x] - both) >= likeness
+        def near_to(x: int, others: np.ndarray) -> np.ndarray:
+            mine = np.zeros(len(known), bool)
+            mine[each[x]] = True
+            both = np.array([np.count_nonzero(mine[each[y]]) for y in others])
+            return both / np.maximum(sizes[others] + sizes[x] - both, 1) >= likeness
 
         return near_to
 

@@ -16,22 +16,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import forget, materialise
 from .components import components
 
-FEW, BLOCK, SALTED = 8, 256, 1024
+FEW, BLOCK, SALTED, AT_ONCE = 8, 256, 1024, 64
 
-#: Given the payloads of a block: a function from a place in it to a mask of the places near it.
-Kernel = Callable[[list], Callable[[int], np.ndarray]]
-
-
-def shared(posted: DataFrame) -> DataFrame:
-    """``bucket, node, n`` of ``posted`` (bucket, node; distinct) for buckets of ``n`` > 1 nodes."""
-    counts = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(posted.join(counts, "bucket"), "shared")
+#: Given the payloads of a block: a function from a place in it and other places to a mask of those that are near.
+Kernel = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
 
 
 def large(met: DataFrame) -> DataFrame:
@@ -39,17 +33,22 @@ def large(met: DataFrame) -> DataFrame:
     return met.where(F.col("n") > FEW)
 
 
-def first_pairs(met: DataFrame) -> DataFrame:
-    """``node, before``, distinct, of ``met`` (bucket, node, n): all pairs of small buckets, a few of large ones."""
+def first_pairs(met: DataFrame, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``node, before``, distinct, of ``met`` (bucket, node, n): all pairs of small buckets, a few of large ones; with
+    ``near``, those for which it holds about the column ``tag`` of the two."""
+    met = met if near else met.withColumn("tag", F.lit(None).cast("int"))
     few = F.col("n") <= FEW
     dealt = met.withColumn("salt", F.when(few, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALTED))).cast("long"))
-    order = Window.partitionBy("bucket", "salt").orderBy("node")
-    back = [F.lag("node").over(order), F.when(~few, F.first("node").over(order)), *[F.when(few, F.lag("node", k).over(order)) for k in range(2, FEW)]]
-    heads = dealt.where(F.col("n") > SALTED).groupBy("bucket", "salt").agg(F.min("node").alias("node"))
+    order, own = Window.partitionBy("bucket", "salt").orderBy("node"), F.struct("node", "tag")
+    back = [F.lag(own).over(order), F.when(~few, F.first(own).over(order)), *[F.when(few, F.lag(own, k).over(order)) for k in range(2, FEW)]]
+    heads = dealt.where(F.col("n") > SALTED).groupBy("bucket", "salt").agg(F.min(own).alias("own")).select("bucket", "own.*")
     across = Window.partitionBy("bucket").orderBy("node")
-    head_back = [F.lag("node").over(across), F.first("node").over(across)]
-    pairs = dealt.select("node", F.array(*back).alias("earlier")).unionByName(heads.select("node", F.array(*head_back).alias("earlier")))
-    return pairs.select("node", F.explode(F.array_distinct(F.array_compact("earlier"))).alias("before")).where("before <> node").distinct()
+    head_back = [F.lag(own).over(across), F.first(own).over(across)]
+    pairs = dealt.select("node", "tag", F.array(*back).alias("earlier")).unionByName(heads.select("node", "tag", F.array(*head_back).alias("earlier")))
+    pairs = pairs.select("node", "tag", F.explode(F.array_compact("earlier")).alias("e")).where("e.node <> node")
+    if near:
+        pairs = pairs.where(near(F.col("tag"), F.col("e.tag")))
+    return pairs.select("node", F.col("e.node").alias("before")).distinct()
 
 
 def roots(met: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
@@ -82,13 +81,14 @@ def _rest(crowded: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Ker
         near_to = kernel([np.asarray(p, np.int64) if isinstance(p, list) else p for p in payload])
         ends = []
         for x in range(len(node) - 1):
-            apart = part[x + 1 :] != part[x]
-            if not apart.any():
-                continue
-            for y in np.flatnonzero(near_to(x)[x + 1 :] & apart) + x + 1:
-                if part[x] != part[y]:
-                    part[part == part[y]] = part[x]
-                    ends.append((int(node[x]), int(node[y])))
+            others = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
+            while len(others):
+                some, others = others[:AT_ONCE], others[AT_ONCE:]
+                for y in some[near_to(x, some)]:
+                    if part[x] != part[y]:
+                        part[part == part[y]] = part[x]
+                        ends.append((int(node[x]), int(node[y])))
+                others = others[part[others] != part[x]]
         return pa.table({"a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
 
     return dealt.select("bucket", "i", "j", "node", "root", "payload").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
