@@ -7,7 +7,8 @@ language is the one with the largest expected number of words, and the score its
 
 Training: stochastic gradient ascent on the conditional log-likelihood, on sequences spliced from pieces of labelled
 documents of different languages so that transitions see switches. The labelled documents are a bounded sample
-(``TRAIN_DOCS`` of them, the least by a hash of the id; ``TRAIN_WORDS`` words from a random place in each).
+(``TRAIN_DOCS`` of them, the least by a hash of the id; ``TRAIN_CHARS`` characters from a place in the whole text that
+a hash of the id chooses, and ``TRAIN_WORDS`` words from a random place in those).
 Only text and language are used. The model is a few MB, whatever the input, and is broadcast.
 
 Prediction reads whole texts. Words are looked up in a bounded memo of emission scores; texts of similar length go
@@ -33,7 +34,7 @@ from ._common import forget, slices, table
 
 UND = "und"
 BUCKETS = 1 << 16
-TRAIN_DOCS, TRAIN_WORDS = 2_000, 60
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_WORDS = 2_000, 4_000, 60
 EPOCHS, RATE, DECAY = 3, 0.3, 1e-5
 MEMO = 150_000
 SIDE_BY_SIDE = 1 << 16  # words, padding included, in a batch of texts
@@ -254,7 +255,9 @@ def training_rows(docs: DataFrame, labelled: Column, bound: int = TRAIN_DOCS) ->
     picked = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
     ids = F.broadcast(picked.select(F.col("doc_id").alias("_id"), key.alias("_k")).orderBy("_k", "_id").limit(bound).distinct())
-    rows = picked.join(ids, picked["doc_id"] == F.col("_id")).select("lang", F.substring("text", 1, 4000).alias("text"), "_k", "_id")
+    room = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
+    part = F.substr("text", (F.pmod(F.xxhash64("_id", F.lit(8)), room) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    rows = picked.join(ids, picked["doc_id"] == F.col("_id")).select("lang", part.alias("text"), "_k", "_id")
     return [(r["text"], r["lang"]) for r in rows.orderBy("_k", "_id", "text", "lang").limit(bound).collect()]
 
 
@@ -268,7 +271,7 @@ def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         predictor = Predictor(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, text):
             found = predictor.texts(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 batch.columns + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

@@ -35,19 +35,38 @@ def none(spark):
     return spark.createDataFrame([], KIND)
 
 
-def test_fingerprints(docs, none):
-    got = imatch.edit_probe(docs.select("doc_id", "text"), imatch.lexicon(docs, 0.0, 9.0)).collect()
-    assert len(got) == len(ROWS)
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, r[1] or ""))
-    pairs = zip(order, order[1:] + order[:1])
-    want = sorted(hashlib.sha256(imatch.edited(r[1] or "", n[1] or "").encode()).hexdigest() for r, n in pairs)
-    assert sorted(r["edited_sha256"] for r in got) == want
-    assert len({r["fingerprint"] for r in got if r["doc_id"] == 1}) == 1
-    assert imatch.edit_probe(none.select("doc_id", "text"), imatch.lexicon(none)).count() == 0
+def test_fingerprints(docs, none, spark):
+    from xxhash import xxh64_intdigest
+
+    def mark(text):
+        h = 42 if text is None else xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) * (h >> 63)
+
+    for rows, given in ((ROWS, docs), (many := [(None if i % 3 else i % 7, f"text {i}", None, None, None) for i in range(400)], spark.createDataFrame(many, KIND))):
+        terms = imatch.lexicon(given, 0.0, 9.0)
+        renamed = given.withColumnsRenamed({"lang": "band", "source": "key"})
+        got = imatch.edit_probe(renamed, terms).collect()
+        assert len(got) == len(rows)
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), mark(r[1]), r[1] is None, r[1] or ""))
+        pairs = zip(order, order[1:] + order[:1])
+        want = sorted(hashlib.sha256(imatch.edited(r[1] or "", n[1] or "").encode()).hexdigest() for r, n in pairs)
+        assert sorted(r["edited_sha256"] for r in got) == want
+        joined = imatch.edit_probe(given, terms, broadcast_terms=0).collect()
+        assert sorted(map(repr, joined)) == sorted(map(repr, got))
+    assert len({r["fingerprint"] for r in imatch.edit_probe(docs, terms).collect() if r["doc_id"] == 1}) == 1
+    assert imatch.edit_probe(none, imatch.lexicon(none)).count() == 0
+    assert imatch.edit_probe(none, imatch.lexicon(none), broadcast_terms=-1).count() == 0
     one = docs.where("doc_id = 4").select("doc_id", "text")
     assert imatch.edit_probe(one, imatch.lexicon(one, 0.0)).count() == 1
 
 
+def test_rows_of_a_null_id_are_in_several_bands(spark):
+    rows = [(None, f"text {i}") for i in range(4000)] + [(i, "x") for i in range(20)]
+    banded = imatch.in_bands(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    sizes = sorted(r["count"] for r in banded.where("not tail").groupBy("band").count().collect())
+    assert len(sizes) >= 4 and sizes[-1] < 1500 and banded.where("tail").count() == len(sizes)
+
+
 def test_bpe(docs, none, spark):
     raw, pattern = bpe_codec.vocabulary(bpe_codec.RANKS), bpe_codec.split_pattern()
     got = bpe_codec.decode(bpe_codec.encode(docs.withColumn("ids", docs["doc_id"]), raw, pattern), raw).collect()
@@ -140,6 +159,9 @@ def test_language(docs, none):
     untaught = langid_crf.train([])
     assert {r["lang_pred"] for r in langid_crf.label(docs, untaught).collect()} == {"und"}
     assert langid_crf.training_rows(none, none["doc_id"].isNotNull()) == []
+    long = docs.sparkSession.createDataFrame([(i, "first " * 2_000 + "later " * 4_000, "en") for i in range(40)], "doc_id long, text string, lang string")
+    taken = [t for t, _ in langid_crf.training_rows(long, long["lang"].isNotNull())]
+    assert all(len(t) == langid_crf.TRAIN_CHARS for t in taken) and 10 < sum("first" not in t for t in taken) < 40
 
 
 def test_mixture(docs, none, spark):

@@ -89,6 +89,38 @@ def test_fingerprint_query(spark, small, docs):
     assert (near > following_near).mean() > 0.9
 
 
+def test_likeness_of_fingerprints_is_that_of_plain_subsets(spark, small, docs):
+    """Subsets drawn and hashed one term at a time, and the share of those that agree."""
+    from xxhash import xxh64_intdigest
+
+    terms = {r["term"] for r in imatch.lexicon(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+
+    def stirred(h, salt):
+        z = (h + salt * 0x9E3779B97F4A7C15) % (1 << 64)
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return z ^ z >> 31
+
+    def plain(text):
+        found = sorted(set(text.lower().encode().split()) & {t.encode() for t in terms})
+        out = []
+        for k in range(imatch.LEVELS * imatch.SEEDS):
+            level = k // imatch.SEEDS
+            held = [h for h in map(xxh64_intdigest, found) if stirred(h, k + 1) % (1 << level) == 0]
+            out.append(xxh64_intdigest(b"".join(h.to_bytes(8, "little") for h in held), k) | 1 if held else 0)
+        return out if found else [xxh64_intdigest(text.encode(), 7) | 1] * len(out)
+
+    order = sorted(docs, reverse=True)
+    rows = {r["doc_id"]: r for r in registry.QUERIES["op1_imatch"](spark, small).collect()}
+    for this, following in list(zip(order, order[1:] + order[:1]))[::5]:
+        text, after = docs[this]["text"] or "", docs[following]["text"] or ""
+        marks = [plain(t) for t in (text, imatch.edited(text, after), after)]
+        assert rows[this]["fingerprint"] == np.array(marks[0], np.uint64).tobytes().hex()
+        for other, near in zip(marks[1:], ("near_edited", "near_next")):
+            some = [(a, b) for a, b in zip(marks[0], other) if a or b]
+            assert rows[this][near] == pytest.approx(sum(a == b for a, b in some) / len(some))
+
+
 def test_lexicon_is_exact(spark, small, docs):
     from collections import Counter
 
