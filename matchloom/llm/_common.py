@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -14,11 +16,17 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``, or by ``setCheckpointDir`` where that is unset. Without
-    either there is none that executors share, which is an error; tests and the benchmark set their own."""
+    """The shared folder named by ``spark.checkpoint.dir``, or by ``setCheckpointDir`` where that is unset.
+
+    Without either a session whose executors are threads of the driver (tests) gets a temporary one; on a cluster
+    there is no folder that executors are known to share, which is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -92,27 +100,22 @@ def partitions(spark: SparkSession) -> int:
 
 
 def numbered(df: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, int]:
-    """Add ``row_no``: gapless positions from 0 in the given total order, without a single-partition window.
+    """Add ``row_no``: gapless positions from 0 in the given total order, without a single-partition window. Other
+    columns can have any names; one of that name is replaced.
 
     One range shuffle sorts the rows; each row's place in its partition comes from the row id of that task and
     is written down with it; the partitions' row counts (one number for each partition) give the offsets.
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    kept = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), label)
-    counts = sorted(
-        (r["part"], r["n"])
-        for r in kept.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect()
-    )
+    row = F.struct(*[df[f"`{c}`"] for c in df.columns if c != "row_no"]).alias("row")
+    kept = materialise(ranged.select(row, F.monotonically_increasing_id().alias("at")), label)
+    part = F.shiftright("at", 33).alias("part")
+    counts = sorted((r["part"], r["n"]) for r in kept.groupBy(part).agg(F.count("*").alias("n")).collect())
     total, offsets = 0, []
-    for part, n in counts:
-        offsets.append((part, total))
+    for place, n in counts:
+        offsets.append((place, total))
         total += n
-    starts = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part long, start long"))
-    out = (
-        kept.withColumn("part", F.shiftright("_at", 33))
-        .join(starts, "part")
-        .withColumn("row_no", F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("part", "start", "_at")
-    )
-    return out, total
+    starts = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part long, start long"))  # a row for each partition
+    placed = kept.select("row", "at", part).join(starts, "part")
+    return placed.select("row.*", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("row_no")), total

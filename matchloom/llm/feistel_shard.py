@@ -5,8 +5,9 @@ n values, and values of n or more are walked along their cycle until they fall b
 gives shard ``p % shards`` and slot ``p // shards``: counts differ by one at most, slots are gapless, and either
 can be computed again from the row number alone. All of it is expressed in SQL functions.
 
-Edge cases: a null text counts as the empty text (size 1, CRC 0); null keys are numbered first; repeated rows are
-numbered apart; an empty table gives an empty result.
+Edge cases: a null text counts as the empty text (size 1, CRC 0); null keys are numbered first; ties of the whole
+order and repeated rows are numbered apart; an empty table gives an empty result; extra columns of any names pass
+through, but for row_no, shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -85,13 +86,10 @@ def shard_rows(df: DataFrame, order: list[Column], shards: int = SHARDS, seed: i
     ``order`` must order all rows but equal ones. Law: ``rows``.
     """
     rows, n = numbered(df, order, "shard")
-    p = permuted(F.col("row_no"), n, seed)
-    return (
-        rows.withColumn("_p", p)
-        .withColumn("shard", (F.col("_p") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_p") / shards).cast("long") if shards & (shards - 1) else F.shiftright("_p", shards.bit_length() - 1))
-        .drop("_p")
-    )
+    kept = F.struct(*[rows[f"`{c}`"] for c in rows.columns if c not in ("shard", "slot")]).alias("row")
+    placed = rows.select(kept, permuted(F.col("row_no"), n, seed).alias("p"))
+    slot = F.floor(F.col("p") / shards).cast("long") if shards & (shards - 1) else F.shiftright("p", shards.bit_length() - 1)
+    return placed.select("row.*", (F.col("p") % shards).cast("int").alias("shard"), slot.alias("slot"))
 
 
 def op3_feistel_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,11 @@ def test_shards(docs, none):
     assert sum(counts) == len(ROWS) and max(counts) - min(counts) <= 1
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s])) for s in range(4))
     assert feistel_shard.shard_rows(none.select("doc_id"), [none["doc_id"]]).count() == 0
+    names = ["part", "at", "start", "row", "p", "_at", "shard", "n"]
+    clash = docs.selectExpr("doc_id", *[f"'x' as {n}" for n in names])  # rows of an id are ties of the whole order
+    got = feistel_shard.shard_rows(clash, [clash["doc_id"]], 3)
+    assert sorted(got.columns) == sorted({"doc_id", "row_no", "slot", *names})
+    assert sorted(r["row_no"] for r in got.collect()) == list(range(len(ROWS))) and {r["part"] for r in got.collect()} == {"x"}
 
 
 def test_simhash(docs, none):
@@ -173,6 +178,10 @@ def test_mixture(docs, none, spark):
     assert mixture.resample(docs, labels, keep={"toxic": 0.1}, max_rate=1.0).columns == docs.columns
     assert mixture.resample(docs, labels.limit(0)).count() == len(ROWS)
     assert mixture.resample(none, labels).count() == 0
+    names = ["rate", "copies", "_w", "_p0", "_b", "_copy", "_id", "_domain", "text_"]
+    clash = docs.selectExpr("doc_id", "text", *[f"'x' as {n}" for n in names])
+    drawn = mixture.resample(clash, labels)
+    assert drawn.columns == clash.columns and {r[n] for r in drawn.collect() for n in names} <= {"x"}
 
 
 def test_media(spark):
