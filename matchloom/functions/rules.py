@@ -37,8 +37,7 @@ CONFEDERATIONS = [
     (["concacaf", "gold cup", "caribbean", "uncaf", "cccf", "nafc", "central american"], [], "CONCACAF"),
     (["african", "africa", "cosafa", "cecafa", "afcon", "udeac", "cabral", "wafu", "nile", "uniffac"], [], "CAF"),
     (
-        ["afc", "asian", "gulf", "aff ", "saff", "eaff", "cafa", "waff", "challenge cup", "asean", "king", "merdeka"]
-        + ["nehru", "arab", "south asian", "dynasty", "kirin"],
+        ["afc", "asian", "gulf", "aff ", "saff", "eaff", "cafa", "waff", "challenge cup", "asean", "king", "merdeka", "nehru", "arab", "south asian", "dynasty", "kirin"],
         [],
         "AFC",
     ),

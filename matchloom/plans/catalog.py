@@ -323,17 +323,17 @@ def money_values(m):
 
 def walk_forward_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pipeline.build_features(load(spark, sf_dir, "matches"), start=None)
-    return rounded(pipeline.walk_forward(table, months=6, years=2, train_years=3, least_train=100).folds)
+    return rounded(pipeline.walk_forward(table, train_years=3, least_train=100).folds)
 
 
 def backtest_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pipeline.build_features(load(spark, sf_dir, "matches"), start=None)
-    return rounded(pipeline.backtest(table, months=6, years=2, train_years=3, least_train=100)[0])
+    return rounded(pipeline.backtest(table, train_years=3, least_train=100)[0])
 
 
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pipeline.build_features(load(spark, sf_dir, "matches"), start=None)
-    return rounded(pipeline.compare_models(table, ("hgb",), months=12, years=1, train_years=3, least_train=100))
+    return rounded(pipeline.compare_models(table, ("hgb",), months=12, train_years=3, least_train=100))
 
 
 def predicted_markets(spark: SparkSession, sf_dir: str) -> DataFrame:

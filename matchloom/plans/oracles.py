@@ -333,7 +333,7 @@ from f join l on date >= lo and date < b1 group by 1, 2, 3 having sum((date < b0
         "odds_unpivoted": with_(("odds",), " select match_id, outcome, round(round(odds, 2), 6) as odds from odds where outcome in ('home_win', 'draw', 'away_win', 'over_2.5')"),
         "fair_odds": with_(("odds",), f", {FAIR} select match_id, outcome, round(odds, 6) as odds, market, round(fair_p, 6) as fair_p from fair", True),
         "fair_odds_multiplicative": with_(
-            ("odds",), f", q as (select *, {MARKET} as market, 1 / odds as q from odds where odds > 1) select match_id, outcome, round(odds, 6) as odds, market, round(q / sum(q) over (partition by match_id, market), 6) as fair_p from q"
+            ("odds",), f", q as (select *, {MARKET} as market, 1 / odds as q from odds where odds > 1) select match_id, outcome, round(odds, 6) as odds, market, round(q / list_reduce(list_sort(list(q) over (partition by match_id, market)), lambda a, b: a + b), 6) as fair_p from q"
         ),
         "score_matrix": with_(("rates",), f", {_cells(1.0, rho)} select match_id, x::int as x, y::int as y, round(p, 6) as p from cells"),
         "derived_markets": with_(

@@ -9,10 +9,24 @@ from ..functions.rules import flag, money
 
 RESULTS = "date DATE, home_team STRING, away_team STRING, home_score INT, away_score INT, tournament STRING, city STRING, country STRING, neutral BOOLEAN"
 FORMER_NAMES = "current STRING, former STRING, start_date DATE, end_date DATE"
+# The markets of a fixtures file.
 MARKET_COLUMNS = [
-    *("home_win", "draw", "away_win", "over_2.5", "under_2.5", "goals_0_1", "goals_2_3", "goals_4plus"),
-    *("hcap_home_-1", "hcap_draw_-1", "hcap_away_+1", "hcap_home_+1", "hcap_draw_+1", "hcap_away_-1"),
+    "home_win",
+    "draw",
+    "away_win",
+    "over_2.5",
+    "under_2.5",
+    "goals_0_1",
+    "goals_2_3",
+    "goals_4plus",
+    "hcap_home_-1",
+    "hcap_draw_-1",
+    "hcap_away_+1",
+    "hcap_home_+1",
+    "hcap_draw_+1",
+    "hcap_away_-1",
 ]
+
 PAYLOAD = "list ARRAY<STRUCT<datum_mw: STRING, x: STRING, y: DOUBLE, mw: STRING>>"
 
 
