@@ -1,11 +1,12 @@
 """Components of all pairs that meet in a bucket and are near, without listing the pairs of large buckets.
 
 Buckets of at most ``FEW`` nodes compare all their pairs. In larger ones each node is first compared with the one
-before it and the first, which joins most of what belongs together. Buckets that then still hold several components
-are compared in full: those outside a bucket's largest component meet each other and all of it, dealt out in blocks
-of about ``BLOCK`` nodes, and a kernel compares the pairs of a block whose ends are in different components. Its
-links number at most the nodes of the block, so rows don't grow with the pairs, and no pair that meets is left out
-unless its ends are linked already. Buckets of equal nodes are compared once.
+before it and the first, which joins most of what belongs together. Nodes that large buckets bring together, in however
+many of them, are a crowd. Crowds that then still hold several components are compared in full, once: those outside a
+crowd's largest component meet each other and all of it, dealt out in blocks of about ``BLOCK`` nodes, and a kernel
+compares the pairs of a block whose ends are in different components. Its links number at most the nodes of the block,
+so rows don't grow with the pairs, and no pair that meets is left out unless its ends are linked already. Crowds of more
+than ``CROWD`` nodes, which buckets may chain together, are compared by bucket instead.
 
 A caller lists ``first_pairs``, checks them, and passes the links found to ``roots``.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import forget, materialise
 from .components import components
 
-FEW, BLOCK, SALTED, AT_ONCE = 8, 256, 1024, 64
+FEW, BLOCK, CROWD, SALTED, AT_ONCE = 8, 256, 20_000, 1024, 64
 
 #: Given the payloads of a block: a function from a place in it and other places to a mask of those that are near.
 Kernel = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
@@ -51,22 +52,34 @@ def first_pairs(met: DataFrame, near: Callable[[Column, Column], Column] | None
     return pairs.select("node", F.col("e.node").alias("before")).distinct()
 
 
-def roots(met: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
+def roots(met: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Kernel, crowd: int = CROWD) -> DataFrame:
     """``node, root`` for nodes of ``met`` that are linked: by ``found`` (a, b), links among the first pairs, or in
     large buckets by ``kernel`` over ``payloads`` (node, payload; all nodes of large buckets have one)."""
     found = materialise(found, "first-links")
-    first = components(found)
-    more = materialise(_rest(large(met), first, payloads, kernel), "rest-links")
+    first, crowded = components(found), large(met)
+    if not crowded.head(1):
+        return first
+    more = materialise(_rest(_groups(crowded, crowd), first, payloads, kernel), "rest-links")
     return components(found.unionByName(more)) if more.head(1) else first
 
 
-def _rest(crowded: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
-    placed = crowded.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+def _groups(crowded: DataFrame, most: int) -> DataFrame:
+    """``bucket, node``: the crowds, or the buckets of too large ones."""
+    pairs = first_pairs(crowded).select(F.col("before").alias("a"), F.col("node").alias("b"))
+    members = components(pairs).select(F.col("root").alias("bucket"), "node")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    huge = materialise(sizes.where(F.col("n") > most).select("bucket"), "huge")
+    if not huge.head(1):
+        return members
+    nodes = members.join(huge, "bucket").select("node")
+    return members.join(huge, "bucket", "left_anti").unionByName(crowded.select("bucket", "node").join(nodes, "node").select("bucket", "node"))
+
+
+def _rest(groups: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
+    placed = groups.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     placed = materialise(placed, "placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node") % (1 << 40)).alias("mark"))
-    split = parts.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.sum("mark").alias("mark"), F.count("*").alias("parts"))
-    # many buckets hold the same nodes: one of them will do
-    split = split.where("parts > 1").groupBy("n", "mark").agg(F.min_by(F.struct("bucket", "main", "k"), "bucket").alias("one")).select("n", "one.*")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    split = parts.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     split = split.select("bucket", "main", F.ceil((F.col("n") - F.col("k")) / BLOCK).alias("strays"), F.ceil(F.col("k") / BLOCK).alias("mains"))
     within = placed.join(split, "bucket")
     own = F.when(F.col("root") == F.col("main"), F.col("strays") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("strays")))

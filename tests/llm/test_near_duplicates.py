@@ -54,6 +54,8 @@ def test_large_buckets_are_compared_in_full(spark):
     found = found.where(likeness.alike(found["p"], found["q"], 0.8)).selectExpr("before as a", "node as b")
     assert found.count() < 349
     root = {r["node"]: r["root"] for r in meet.roots(met, found, payload, likeness.kernel(0.8)).collect()}
+    by_bucket = {r["node"]: r["root"] for r in meet.roots(met, found, payload, likeness.kernel(0.8), crowd=100).collect()}
+    assert root == by_bucket
     held = [{x % (1 << 62) for x in sets[i]} for i in range(700)]
     alike = np.array([[len(p & q) / len(p | q) >= 0.8 for q in held] for p in held])
     want = classes_of(700, lambda i: alike[i])
