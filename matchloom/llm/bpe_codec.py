@@ -24,14 +24,16 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from heapq import heappop, heappush
 from itertools import accumulate, chain, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import MEMOS, slices, table, uncollected
 
-MEMO = 250_000
+MEMO = 300_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -140,15 +142,30 @@ _odd = re.compile(r" (?:\s|$)").search
 #: Plain words, of Latin letters and perhaps a sign that ends them, which is a pre-token of its own.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _plain = re.compile(rf"([{LETTERS}]+)([,.;:!?]?)").fullmatch
+_ODD = r" (?:[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"  # the same for Arrow
 LONG = 64  # characters of units that aren't kept
 
 
+class Kept(dict):
+    """Units and their ids in two generations: when the younger has ``limit`` entries it becomes the elder."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.elder = limit, {}
+
+    def add(self, found: dict[str, bytes]) -> None:
+        if len(self) + len(found) > self.limit:
+            self.elder = dict(self)
+            self.clear()
+        self.update(found)
+
+
 class UnitCoder:
     """Whole texts to ids (int32 bytes): cut at such spaces, new units cut by ``pattern``, and ``code`` gives the ids
     of a list of pre-tokens. Where the pattern keeps plain words whole and their ends apart, they are cut without it.
 
-    Units are known in two generations: when the younger has ``limit`` entries it becomes the elder, and what is asked
-    for again moves back into the younger. A call learns all the new units of its texts at once.
+    Units seen once are kept for a while, those seen again longer, so that the many that never return don't push them
+    out; in all about ``limit`` of them. A call learns all the new units of its texts at once.
     """
 
     def __init__(self, code: Callable[[list[str]], list[Sequence[int]]], pattern: str, limit: int = MEMO) -> None:
@@ -157,9 +174,8 @@ class UnitCoder:
         self.code, self.find, self.limit = code, regex.compile(pattern).findall, limit
         word = "".join(c for c in map(chr, range(65, 592)) if _plain(c))
         self.plain = _plain if all(self.find(f" {word}{e}") == [f" {word}", e] for e in ",.;:!?") else lambda unit: None
-        self.known: dict[str, bytes] = {}
-        self.elder: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}  # pre-tokens of units that aren't plain words
+        self.once, self.again = Kept(limit // 6), Kept(limit // 3)
+        self.pieces = Kept(limit // 10)  # pre-tokens of units that aren't plain words
 
     def _packed(self, pieces: list[str]) -> Iterator[bytes]:
         coded = self.code(pieces)
@@ -170,51 +186,71 @@ class UnitCoder:
     def _cut_and_coded(self, strings: list[str]) -> list[bytes]:
         """Ids of strings that the pattern cuts."""
         cut = [self.find(x) for x in strings]
-        if len(self.pieces) > self.limit // 5:
-            self.pieces.clear()
-        pieces = self.pieces
-        new = [p for p in set().union(*cut) if p not in pieces]
-        pieces.update(zip(new, self._packed(new)))
-        out = [b"".join(map(pieces.__getitem__, c)) for c in cut]
-        for p in [p for p in new if len(p) > LONG]:
-            del pieces[p]
-        return out
-
-    def _learn(self, new: Iterable[str]) -> list[str]:
-        """Add the new units, and return which were too long to keep."""
-        known, elder, plain = self.known, self.elder, self.plain
+        wanted = set().union(*cut)
+        told = {p: ids for p in wanted if (ids := self.pieces.get(p) or self.pieces.elder.get(p))}
+        new = [p for p in wanted if p not in told]
+        fresh = dict(zip(new, self._packed(new)))
+        told |= fresh
+        self.pieces.add({p: told[p] for p in wanted if p not in self.pieces and len(p) <= LONG})
+        return [b"".join(map(told.__getitem__, c)) for c in cut]
+
+    def _learnt(self, new: list[str]) -> dict[str, bytes]:
         words, ended, others = [], [], []
         for u in new:
-            if (ids := elder.get(u)) is not None:
-                known[u] = ids
-            elif (m := plain(u)) is None:
+            if (m := self.plain(u)) is None:
                 others.append(u)
             elif m[2]:
                 ended.append((u, *m.groups()))
             else:
                 words.append(u)
-        met = {w for _, w, _ in ended if w not in known}
-        met.difference_update(words)
-        known.update((w, elder[w]) for w in met if w in elder)
-        words += [w for w in met if w not in elder]
-        known.update(zip(words, self._packed([f" {w}" for w in words])))
+        met = {w for _, w, _ in ended}.difference(words)
+        told = {w: ids for w in met if (ids := self.again.get(w) or self.once.get(w))}
+        words += [w for w in met if w not in told]
+        told.update(zip(words, self._packed([f" {w}" for w in words])))
         ends = dict(zip(",.;:!?", self._packed(list(",.;:!?"))))
-        known.update((u, known[w] + ends[e]) for u, w, e in ended)
-        known.update(zip(others, self._cut_and_coded([f" {u}" for u in others])))
-        return [u for group in (words, others, (u for u, _, _ in ended)) for u in group if len(u) > LONG]
+        told.update((u, told[w] + ends[e]) for u, w, e in ended)
+        told.update(zip(others, self._cut_and_coded([f" {u}" for u in others])))
+        return told
+
+    def _told(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids of units, each with the space before it."""
+        again, old, once, older = self.again, self.again.elder, self.once, self.once.elder
+        told, back, new = {}, {}, []
+        for u in units:
+            if (ids := again.get(u)) is not None:
+                told[u] = ids
+            elif (ids := old.get(u) or once.get(u) or older.get(u)) is not None:
+                back[u] = ids
+            else:
+                new.append(u)
+        fresh = self._learnt(new)
+        again.add(back)
+        once.add({u: ids for u, ids in fresh.items() if len(u) <= LONG})
+        return told | back | fresh
+
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        """The same for a column of texts, as a list array of int32. Texts are cut and their units told apart in Arrow,
+        so that Python sees each different unit once."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts) or pc.any(pc.match_substring_regex(texts, _ODD)).as_py():
+            return id_lists(self(texts.to_pylist()))
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        flat = cut.flatten()
+        told = flat.dictionary_encode()
+        units, at = told.dictionary.to_pylist(), told.indices.to_numpy().copy()
+        heads = self._cut_and_coded(flat.take(pa.array(bounds[:-1])).to_pylist())
+        coded = [*map(self._told(units).__getitem__, units), *heads]
+        at[bounds[:-1]] = np.arange(len(units), len(coded), dtype=at.dtype)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), id_lists(coded).take(pa.array(at)).flatten())
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         cut = [(_cut(t) if _odd(t) else t.split(" ")) if t else [""] for t in texts]
         heads = self._cut_and_coded([c.pop(0) for c in cut])
-        wanted = set().union(*cut)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.elder, self.known, new = self.known, {}, wanted
-        long, known = self._learn(new), self.known
-        out = [head + b"".join(map(known.__getitem__, c)) for head, c in zip(heads, cut)]
-        for u in long:
-            del known[u]
-        return out
+        told = self._told(set().union(*cut)).__getitem__
+        return [head + b"".join(map(told, c)) for head, c in zip(heads, cut)]
 
 
 def bpe_coder(ranks: dict[bytes, int], pattern: str) -> UnitCoder:
@@ -265,11 +301,10 @@ def encode(df: DataFrame, raw: bytes, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for batch in slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        for batch in slices(batches, text, 4_000, 16 << 20):
             with uncollected():
-                codes = coder(texts)
-            yield with_column(batch, ids, id_lists(codes))
+                coded = coder.lists(batch.column(batch.schema.get_field_index(text)))
+            yield with_column(batch, ids, coded)
 
     return df.mapInArrow(run, schema_with(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -303,14 +338,17 @@ def there_and_back(df: DataFrame, raw: bytes, pattern: str, decoded: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, joined = _coder(shared.value, pattern), _decoder(shared.value)
-        for batch in slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        for batch in slices(batches, text, 4_000, 16 << 20):
+            texts = batch.column(batch.schema.get_field_index(text))
             with uncollected():
-                codes = coder(texts)
-            back = (joined(memoryview(c).cast("i").tolist()) for c in codes)
-            told = pa.array(back, pa.binary()) if decoded else pa.array((b == (t or "").encode() for t, b in zip(texts, back)), pa.bool_())
+                codes = coder.lists(texts)
+            values = codes.flatten().to_numpy()
+            back = (joined(values[a:b].tolist()) for a, b in pairwise(codes.offsets.to_pylist()))
+            told = pa.array(back, pa.binary())
+            if not decoded:
+                told = pc.equal(told, pc.fill_null(texts, "").cast(pa.binary()))
             keep = [i for i, x in enumerate(batch.schema.names) if x != text]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], id_lists(codes), told], [*[batch.schema.names[i] for i in keep], "ids", name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], codes, told], [*[batch.schema.names[i] for i in keep], "ids", name])
 
     return slim.mapInArrow(run, out)
 

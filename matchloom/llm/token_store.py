@@ -14,13 +14,16 @@ ordered by text; repeated rows are written each; an empty table gives an empty s
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +44,7 @@ LAYOUT = {
     "compression": "zstd",
 }
 
-_coders: dict[tuple[bytes, bool], Callable[[Sequence[str | None]], list[bytes]]] = {}
+_coders: dict[tuple[bytes, bool], TextCoder] = {}
 MEMOS.append(_coders)
 
 
@@ -54,63 +57,71 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def text_coder(raw: bytes, special_as_text: bool) -> Callable[[Sequence[str | None]], list[bytes]]:
-    """Whole texts to ids (int32 bytes) as ``Tokenizer.encode`` gives them without special tokens around the text.
+class TextCoder:
+    """Whole texts to ids as ``Tokenizer.encode`` gives them without special tokens around the text.
 
     Pre-tokens are split here and go to the library's model one at a time, since what its whole call adds (offsets,
     masks, alignments) costs five times the merges; what was seen is kept. A text with a string of an added token
     goes to the whole call.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(raw.decode())
-    tokenizer.encode_special_tokens = special_as_text
-    tokenize, letters = tokenizer.model.tokenize, byte_letters()
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+    def __init__(self, raw: bytes, special_as_text: bool = False) -> None:
+        from tokenizers import Tokenizer
 
-    def code(pieces: list[str]) -> list[list[int]]:
-        written = (p.encode().decode("latin-1").translate(letters) for p in pieces)
-        return [[t.id for t in tokenize(w)] for w in written]
+        self.tokenizer = Tokenizer.from_str(raw.decode())
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = "|".join(f"(?:{re.escape(a)})" for a in added)
+        tokenize, letters = self.tokenizer.model.tokenize, byte_letters()
 
-    units = UnitCoder(code, split_pattern())
+        def code(pieces: list[str]) -> list[list[int]]:
+            written = (p.encode().decode("latin-1").translate(letters) for p in pieces)
+            return [[t.id for t in tokenize(w)] for w in written]
 
-    def coder(texts: Sequence[str | None]) -> list[bytes]:
-        marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
-        out = units([None if i in marked else t for i, t in enumerate(texts)])
-        for i in marked:
-            out[i] = array("i", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
-        return out
+        self.units = UnitCoder(code, split_pattern())
 
-    return coder
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        marked = pc.fill_null(pc.match_substring_regex(texts, self.added), False) if self.added else None
+        if marked is None or not pc.any(marked).as_py():
+            return self.units.lists(texts)
+        whole = lambda t: array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+        texts = texts.to_pylist()
+        plain = iter(self.units([t for t, m in zip(texts, marked.to_pylist()) if not m]))
+        return id_lists([whole(t) if m else next(plain) for t, m in zip(texts, marked.to_pylist())])
 
 
-def _coder(raw: bytes, special_as_text: bool = False) -> Callable[[Sequence[str | None]], list[bytes]]:
+def _coder(raw: bytes, special_as_text: bool = False) -> TextCoder:
     key = hashlib.sha256(raw).digest(), special_as_text
     if key not in _coders:
         _coders.clear()
-        _coders[key] = text_coder(raw, special_as_text)
+        _coders[key] = TextCoder(raw, special_as_text)
     return _coders[key]
 
 
+def _closed(lists: pa.ListArray, end_id: int) -> pa.ListArray:
+    """Each list with the end id after it."""
+    ends = lists.offsets.to_numpy()
+    values = np.insert(lists.flatten().to_numpy(), ends[1:] - ends[0], end_id)
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0] + np.arange(len(ends))).astype(np.int32)), pa.array(values, pa.int32()))
+
+
 def write(docs: DataFrame, path: str, tokenizer: bytes, end_id: int = END_ID, special_as_text: bool = False) -> None:
     """Encode ``docs`` and write the store; of its columns only doc_id and text are read. ``tokenizer`` is the content
     of a tokenizers file of the byte-level kind, whose pre-tokens are the matches of ``split_pattern()``. The string
     of a special token in a text gives that token, as in the library's plain call, or ordinary text if asked for."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer)
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _coder(shared.value, special_as_text), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
-            texts = batch.column(1).to_pylist()
+        for batch in slices(batches, "text", 4_000, 16 << 20):
             with uncollected():
-                parts = [ids + end for ids in coder(texts)]
-            counts = [len(p) // 4 for p in parts]
+                ids = _closed(coder(batch.column(1)), end_id)
+            counts = np.diff(ids.offsets.to_numpy()).tolist()
             starts = list(accumulate(counts, initial=at))
             at = starts.pop()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * len(parts), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), id_lists(parts)],
+                [batch.column(0), pa.array([part] * len(counts), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), ids],
                 ["doc_id", "part", "start", "n_tokens", "ids"],
             )
 
