@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._common import MEMOS, slices, table, uncollected
 
-MEMO = 300_000
+MEMO = 240_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -301,7 +301,7 @@ def encode(df: DataFrame, raw: bytes, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for batch in slices(batches, text, 4_000, 16 << 20):
+        for batch in slices(batches, text, 2_000, 8 << 20):
             with uncollected():
                 coded = coder.lists(batch.column(batch.schema.get_field_index(text)))
             yield with_column(batch, ids, coded)
@@ -338,7 +338,7 @@ def there_and_back(df: DataFrame, raw: bytes, pattern: str, decoded: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, joined = _coder(shared.value, pattern), _decoder(shared.value)
-        for batch in slices(batches, text, 4_000, 16 << 20):
+        for batch in slices(batches, text, 2_000, 8 << 20):
             texts = batch.column(batch.schema.get_field_index(text))
             with uncollected():
                 codes = coder.lists(texts)

@@ -114,7 +114,7 @@ def write(docs: DataFrame, path: str, tokenizer: bytes, end_id: int = END_ID, sp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _coder(shared.value, special_as_text), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 4_000, 16 << 20):
+        for batch in slices(batches, "text", 2_000, 8 << 20):
             with uncollected():
                 ids = _closed(coder(batch.column(1)), end_id)
             counts = np.diff(ids.offsets.to_numpy()).tolist()
