@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ..sources.adapters import load
 from . import oracles as sql
 from . import pipeline
 
+CRUDE_DRAWS = 0.2
 STALE, LIVE, TOP = 5, 25, 3  # small, so that the limits decide many rows
 RHO = -0.05
 BLEND = {"home_win": 0.487130713, "draw": 0.291716177, "away_win": 0.22115311}  # no edge lies on a threshold
@@ -321,6 +323,87 @@ def money_values(m):
     return m.select("match_id", value.alias("value_eur"), rules.safe_log10(value).alias("log_value"))
 
 
+@over("losses")
+def crude_baseline(lo):
+    """Elo expectancy with a fixed share of draws."""
+    base = evaluate.elo_baseline(F.col("elo_home") - F.col("elo_away"), F.lit(CRUDE_DRAWS))
+    rows = lo.withColumn("proba", base)
+    return evaluate.metrics(rows)
+
+
+@over("profiles", "pool")
+def resolved_players(p, pool):
+    """Some players asked for by id, the others by name, in another case."""
+    named = p.withColumn("country", F.concat(F.lit("T"), F.col("team_id").cast("string")))
+    asked = named.select("country", F.when(F.col("player_id") % 2 == 0, F.col("player_id").cast("string")).otherwise(F.upper("player_name")).alias("who"))
+    return squads.resolve_players(asked, p.select("player_id", "player_name"), pool.select("country", "player_id").distinct())
+
+
+@over("matches")
+def flags(m):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("1", " Yes ", "no", "", "TRUE", "f", "1.0")]), (F.col("match_id") % 7 + 1).cast("int"))
+    return m.select("match_id", rules.flag(said, True).alias("yes"), rules.flag(F.when(said != "no", said), False).alias("or_no"))
+
+
+def read_back(read: Callable, name: str, *columns: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df):
+    """A query that writes an adapter table as a CSV file with a header and reads it with one of the readers."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{schemas.scratch(spark)}/{name}-{uuid.uuid4().hex}"
+        load(spark, sf_dir, name).selectExpr(*columns).write.csv(path, header=True)
+        return rounded(keep(read(spark, path)))
+
+    return query
+
+
+read_results = read_back(
+    schemas.load_results,
+    "matches",
+    *("date", "home_team", "away_team", "if(match_id % 50 = 0, null, home_score) as home_score", "concat(away_score, '.0') as away_score"),
+    *("tournament", "neutral", "match_id as city"),
+    keep=lambda df: df.drop("match_id"),
+)
+read_former_names = read_back(schemas.load_former_names, "former_names", "current", "former", "start_date", "end_date")
+read_country_series = read_back(lambda spark, path: schemas.load_country_series(path, spark), "series", "country", "date", "mv_eur as squad_value_eur")
+read_market_values = read_back(schemas.load_market_values, "player_values", "player_id", "unix_date(date) * 86400L as date_unix", "if(player_id % 9 = 0, 'n/a', cast(value_eur as string)) as value")
+read_injuries = read_back(schemas.load_injuries, "injuries", "player_id", "from_date", "concat(end_date, ' 00:00:00') as end_date")
+read_pool = read_back(schemas.load_national_pool, "pool", "player_id", "substr(country, 2) as team_id", "debut")
+read_transfers = read_back(schemas.load_transfers, "transfers", "player_id", "transfer_date", "concat(to_team_id, '.0') as to_team_id", "to_team_name")
+read_profiles = read_back(schemas.load_profiles, "profiles", "player_id", "player_name", "citizenship")
+
+
+def read_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of a fixtures file, with the flags of their fixture."""
+    path = f"{schemas.scratch(spark)}/fixtures-{uuid.uuid4().hex}"
+    quoted = ["home_win", "draw", "over_2.5"]
+    wide = load(spark, sf_dir, "odds").groupBy("match_id").pivot("outcome", quoted).agg(F.max("odds"))
+    wide = wide.select(F.concat(F.lit("H"), "match_id").alias("home"), F.concat(F.lit("A"), "match_id").alias("away"), *[F.col(f"`{q}`") for q in quoted], F.expr("if(match_id % 3 = 0, 'no', '') as neutral"), F.expr("if(match_id % 4 = 0, 'Y', null) as wc"))
+    wide.write.csv(path, header=True)
+    fixtures, odds = schemas.load_fixtures(spark, path)
+    return rounded(odds.join(fixtures, "match").select("match", "outcome", "odds", "neutral", "wc"))
+
+
+def value_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of cached payloads: dates in words, milliseconds or ISO text, values as numbers or in words."""
+    v = load(spark, sf_dir, "player_values")
+    kind = F.col("player_id") % 3
+    point = F.struct(
+        F.when(kind == 0, F.date_format("date", "MMM d, yyyy")).alias("datum_mw"),
+        F.when(kind == 1, (F.unix_date("date").cast("long") * 86_400_000).cast("string")).when(kind == 2, F.col("date").cast("string")).alias("x"),
+        F.when(F.col("player_id") % 2 == 0, F.col("value_eur").cast("double")).alias("y"),
+        F.concat(F.lit("€"), (F.floor(F.col("value_eur") / 1000)).cast("string"), F.lit("k")).alias("mw"),
+    )
+    payload = v.select("player_id", F.to_json(F.struct(F.array(point).alias("list"))).alias("text"))
+    read = payload.select("player_id", F.from_json("text", schemas.PAYLOAD).alias("p")).select("player_id", F.explode("p.list").alias("v"))
+    return rounded(schemas.parse_value_history(read))
+
+
+def backtest_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each test match's losses by the goals model and the regression."""
+    table = pipeline.build_features(load(spark, sf_dir, "matches"), start=None)
+    return rounded(pipeline.backtest(table, train_years=3, least_train=100)[1])
+
+
 def walk_forward_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pipeline.build_features(load(spark, sf_dir, "matches"), start=None)
     return rounded(pipeline.walk_forward(table, train_years=3, least_train=100).folds)
@@ -391,7 +474,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "portfolio_totals": portfolio_totals,
     "linear_scores": linear_scores,
     "money_values": money_values,
+    "crude_baseline": crude_baseline,
+    "resolved_players": resolved_players,
+    "flags": flags,
+    "read_results": read_results,
+    "read_former_names": read_former_names,
+    "read_country_series": read_country_series,
+    "read_market_values": read_market_values,
+    "read_injuries": read_injuries,
+    "read_pool": read_pool,
+    "read_transfers": read_transfers,
+    "read_profiles": read_profiles,
+    "read_fixtures": read_fixtures,
+    "value_history": value_history,
     "walk_forward_lr": walk_forward_lr,
+    "backtest_losses": backtest_losses,
     "backtest_blends": backtest_blends,
     "boosted_trees": boosted_trees,
     "predicted_markets": predicted_markets,
@@ -399,4 +496,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return sql.all_oracles(STALE, LIVE, TOP, RHO, BLEND)
+    return sql.all_oracles(STALE, LIVE, TOP, RHO, BLEND, CRUDE_DRAWS)

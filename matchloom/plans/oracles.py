@@ -101,6 +101,59 @@ GLICKO = with_(
     True,
 )
 
+TAU2 = "0.25"  # Glicko-2's tau, squared
+NEWTON = 5
+
+
+def _g2(phi: str) -> str:
+    return f"(1.0 / sqrt(1.0 + 3.0 * ({phi}) * ({phi}) / (pi() * pi())))"
+
+
+def _newton(x: str, side: str) -> str:
+    """A step towards the volatility equation's root from x, the logarithm of sigma squared."""
+    e, total = f"exp({x})", f"(w{side} + exp({x}))"
+    value = f"{e} * (dd{side} - {total}) / (2 * {total} * {total}) - ({x} - a{side}) / {TAU2}"
+    slope = f"{e} * (w{side} * (dd{side} - {total}) - {e} * dd{side}) / (2 * {total} * {total} * {total}) - 1 / {TAU2}"
+    return f"{x} - greatest(-0.5, least(0.5, ({value}) / ({slope})))"
+
+
+def _solved(source: str) -> str:
+    """``source`` with the roots xh and xa, from the old values ah and aa."""
+    sql = f"select *, ah as xh, aa as xa from ({source})"
+    for _ in range(NEWTON):
+        sql = f"select * replace ({_newton('xh', 'h')} as xh, {_newton('xa', 'a')} as xa) from ({sql})"
+    return sql
+
+
+GLICKO2 = with_(
+    ("matches",),
+    f""", {ORDERED}, st as (
+  select 0::bigint as rn, 0::bigint as match_id, 0.0::double as mh, 0.0::double as ma, 0.0::double as ph, 0.0::double as pa, 0.0::double as sh, 0.0::double as sa,
+    list_transform(range(25), lambda x: 0.0::double) as mu, list_transform(range(25), lambda x: 350.0::double / 173.7178) as phi,
+    list_transform(range(25), lambda x: 0.06::double) as sigma, list_transform(range(25), lambda x: null::date) as last
+  union all
+  select rn, match_id, mh, ma, ph, pa, sh, sa,
+    list_transform(mu, lambda v, i: case when i = hi then mh + nh * nh * gh * (s - eh) when i = ai then ma + na * na * ga * (1 - s - ea) else v end),
+    list_transform(phi, lambda v, i: case when i = hi then nh when i = ai then na else v end),
+    list_transform(sigma, lambda v, i: case when i = hi then exp(xh / 2) when i = ai then exp(xa / 2) else v end),
+    list_transform(last, lambda v, i: case when i = hi or i = ai then date else v end)
+  from (select *, 1 / sqrt(1 / (ph * ph + exp(xh)) + 1 / vh) as nh, 1 / sqrt(1 / (pa * pa + exp(xa)) + 1 / va) as na from ({_solved(f"""
+    select *, 2 * ln(sh) as ah, 2 * ln(sa) as aa, ph * ph + vh as wh, pa * pa + va as wa, (vh * gh * (s - eh)) * (vh * gh * (s - eh)) as ddh,
+      (va * ga * (1 - s - ea)) * (va * ga * (1 - s - ea)) as dda from (
+      select *, 1 / (gh * gh * eh * (1 - eh)) as vh, 1 / (ga * ga * ea * (1 - ea)) as va from (
+        select *, greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-gh * (mh - ma))))) as eh, greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-ga * (ma - mh))))) as ea from (
+          select *, {_g2("pa")} as gh, {_g2("ph")} as ga from (
+            select o.rn, o.match_id, o.hi, o.ai, o.s, o.date, st.mu, st.phi, st.sigma, st.last, st.mu[o.hi] as mh, st.mu[o.ai] as ma, st.sigma[o.hi] as sh, st.sigma[o.ai] as sa,
+              case when st.last[o.hi] is null then st.phi[o.hi] else least(sqrt(st.phi[o.hi] * st.phi[o.hi] + st.sigma[o.hi] * st.sigma[o.hi] * greatest(date_diff('day', st.last[o.hi], o.date) / 30.0, 0)), 350.0 / 173.7178) end as ph,
+              case when st.last[o.ai] is null then st.phi[o.ai] else least(sqrt(st.phi[o.ai] * st.phi[o.ai] + st.sigma[o.ai] * st.sigma[o.ai] * greatest(date_diff('day', st.last[o.ai], o.date) / 30.0, 0)), 350.0 / 173.7178) end as pa
+            from st join o on o.rn = st.rn + 1))))
+  """)}))
+) select match_id, round(173.7178 * (mh - ma), 6) as glicko2_diff, round(173.7178 * sqrt(ph * ph + pa * pa), 6) as glicko2_unc,
+  round(1 / (1 + power(10.0, -{_g("173.7178 * sqrt(ph * ph + pa * pa)")} * 173.7178 * (mh - ma) / 400)), 6) as glicko2_exp,
+  round(sqrt(sh * sh + sa * sa), 6) as glicko2_vol from st where rn > 0""",
+    True,
+)
+
 FEATURES = f"""select m.match_id, m.date, round(e.elo_home - e.elo_away, 6) as elo_diff, m.neutral::int as is_neutral,
   f.form_pts_home, f.form_pts_away, f.form_gf_home, f.form_gf_away, f.form_ga_home, f.form_ga_away, h.h2h_home_winrate, h.h2h_home_gd, h.h2h_logn,
   g.glicko_exp, case when m.home_score > m.away_score then 0 when m.home_score = m.away_score then 1 else 2 end as target
@@ -156,7 +209,7 @@ def _cells(scale: float, rho: float) -> str:
 ), cells as (select match_id, x, y, p / sum(p) over (partition by match_id) as p from raw)"""
 
 
-def all_oracles(stale: int, live: int, top: int, rho: float, blend: dict[str, float]) -> dict[str, str]:
+def all_oracles(stale: int, live: int, top: int, rho: float, blend: dict[str, float], crude: float) -> dict[str, str]:
     priced = f"""{_cells(1.0, rho)}, region as (
   select *, case when x > y then 'home_win' when x = y then 'draw' else 'away_win' end as o from cells
 ), scaled as (
@@ -240,6 +293,7 @@ def all_oracles(stale: int, live: int, top: int, rho: float, blend: dict[str, fl
         "elo": ELO,
         "elo_final": ELO_FINAL,
         "glicko": GLICKO,
+        "glicko2": GLICKO2,
         "features": FEATURES,
         "context_features": CONTEXT,
         "team_confederations": with_(("matches",), f", {TEAM_CONFED} select * from tc"),
@@ -324,6 +378,43 @@ from f join l on date >= lo and date < b1 group by 1, 2, 3 having sum((date < b0
   round(avg(power(proba[1] - (target = 0)::int, 2) + power(proba[2] - (target = 1)::int, 2) + power(proba[3] - (target = 2)::int, 2)), 6) as brier,
   round(avg((list_position(proba, list_max(proba)) - 1 = target)::int), 6) as accuracy from ll group by 1""",
         ),
+        "crude_baseline": with_(
+            ("losses",),
+            f""", b as (select target, [{1 - crude} * w, {crude}, {1 - crude} * (1 - w)] as q from (select *, 1 / (1 + power(10.0, -(elo_home - elo_away) / 400)) as w from losses)
+), c as (select target, list_transform(list_transform(q, lambda x: greatest(1e-6, least(1.0, x))), lambda x: x / list_sum(list_transform(q, lambda y: greatest(1e-6, least(1.0, y))))) as p from b)
+select count(*) as n, round(avg(-ln(greatest(1e-15, least(1 - 1e-15, p[target + 1])))), 6) as log_loss,
+  round(avg(power(p[1] - (target = 0)::int, 2) + power(p[2] - (target = 1)::int, 2) + power(p[3] - (target = 2)::int, 2)), 6) as brier,
+  avg((list_position(p, list_max(p)) - 1 = target)::int) as accuracy from c""".replace("avg((list", "round(avg((list").replace("= target)::int) as accuracy", "= target)::int), 6) as accuracy"),
+        ),
+        "resolved_players": with_(
+            ("profiles", "pool"),
+            """, n as (select *, concat('T', team_id::string) as country from profiles
+), members as (select distinct country, player_id from pool
+), hits as (
+  select a.country, b.player_id, m.player_id is not null as in_pool, a.player_name from (select * from n where player_id % 2 = 1) a
+  join profiles b on lower(trim(a.player_name)) = lower(trim(b.player_name)) left join members m on m.country = a.country and m.player_id = b.player_id
+)
+select country, player_id from n where player_id % 2 = 0
+union select country, player_id from (select *, bool_or(in_pool) over (partition by country, player_name) as any_in from hits) where in_pool or not any_in""",
+        ),
+        "flags": with_(("matches",), " select match_id, match_id % 7 in (0, 1, 3, 4, 6) as yes, match_id % 7 in (0, 1, 4, 6) as or_no from matches"),
+        "read_results": with_(("matches",), " select date, home_team, away_team, home_score::int as home_score, away_score::int as away_score, tournament, neutral from matches where match_id % 50 <> 0"),
+        "read_former_names": with_(("former_names",), " select current, former, start_date, end_date from former_names"),
+        "read_country_series": with_(("series",), " select country, date, round(mv_eur, 6) as mv_eur from series"),
+        "read_market_values": with_(("player_values",), " select player_id::bigint as player_id, date, round(value_eur, 6) as value_eur from player_values where player_id % 9 <> 0"),
+        "read_injuries": with_(("injuries",), " select player_id::bigint as player_id, from_date, end_date from injuries"),
+        "read_pool": with_(("pool",), " select player_id::bigint as player_id, substr(country, 2)::bigint as team_id, debut from pool"),
+        "read_transfers": with_(("transfers",), " select player_id::bigint as player_id, transfer_date, to_team_id::bigint as to_team_id, to_team_name from transfers"),
+        "read_profiles": with_(("profiles",), " select player_id::bigint as player_id, player_name, trim(split_part(citizenship, '  ', 1)) as country from profiles"),
+        "read_fixtures": with_(
+            ("odds",),
+            " select concat('H', match_id::string, ' vs A', match_id::string) as match, outcome, round(odds, 6) as odds, match_id % 3 <> 0 as neutral, match_id % 4 = 0 as wc"
+            " from odds where outcome in ('home_win', 'draw', 'over_2.5') and odds > 1",
+        ),
+        "value_history": with_(
+            ("player_values",),
+            " select player_id::bigint as player_id, date, round(case when player_id % 2 = 0 then value_eur else floor(value_eur / 1000) * 1000 end, 6) as value_eur from player_values",
+        ),
         "elo_baseline": with_(("losses",), f", {losses} select match_id, round(base[1], 6) as home, round(base[2], 6) as draw, round(base[3], 6) as away, {r('ll_dc', 'll_lr')} from ll"),
         "loss_slices": with_(("losses",), f", {losses} " + " union all ".join(reports)),
         "decay_weights": with_(

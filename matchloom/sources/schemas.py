@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,18 @@ MARKET_COLUMNS = [
 PAYLOAD = "list ARRAY<STRUCT<datum_mw: STRING, x: STRING, y: DOUBLE, mw: STRING>>"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for files that are written to be read again: the shared one named by ``spark.checkpoint.dir``. A session
+    whose executors are threads of the driver may do without and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/matchloom"
+
+
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, by name; each reader below casts what it needs, so order and extras don't matter."""
     return spark.read.csv(path, header=True, inferSchema=False)
