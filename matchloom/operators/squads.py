@@ -75,14 +75,24 @@ def first_debuts(pool: DataFrame) -> DataFrame:
     return pool.groupBy("country", "player_id").agg(F.min("debut").alias("debut"))
 
 
+def live_values(values: DataFrame, grid: DataFrame, liveness_days: int) -> DataFrame:
+    """``player_id, date, value_eur`` on the days of ``grid`` on which a player has a value of at most that age: each
+    value is carried forward to its own days, until the next one or its end, so days without any make no rows."""
+    points = values.where(F.col("value_eur").isNotNull()).groupBy("player_id", "date").agg(F.max("value_eur").alias("value_eur"))
+    following = F.lead("date").over(Window.partitionBy("player_id").orderBy("date"))
+    until = points.withColumn("_until", F.least(F.date_add("date", liveness_days), F.date_sub(following, 1)))
+    days = F.broadcast(grid.agg(F.collect_set("date").alias("_days")))  # one row
+    carried = F.filter("_days", lambda d: (d >= F.col("date")) & (d <= F.col("_until")))
+    return until.crossJoin(days).select("player_id", F.explode(carried).alias("date"), "value_eur")
+
+
 def available(pool: DataFrame, values: DataFrame, grid: DataFrame, injuries: DataFrame | None, liveness_days: int, debut_gate: bool = True) -> DataFrame:
-    """Players' values on each day of ``grid``, a calendar (at most one row a month) that is crossed with the pool.
+    """Players' values on each day of ``grid``, a calendar (at most one row a month).
 
     Values are worked out for each player once, however many countries claim them.
     """
     players = first_debuts(pool)
-    probes = players.select("player_id").distinct().crossJoin(F.broadcast(grid))
-    valued = player_values_asof(probes, values, liveness_days).where(F.col("value_eur").isNotNull())
+    valued = live_values(values.join(players.select("player_id").distinct(), "player_id", "left_semi"), grid, liveness_days)
     if injuries is not None:
         valued = outside_intervals(valued, injuries, "player_id", "date", "from_date", "end_date")
     rows = players.join(valued, "player_id")
