@@ -1,14 +1,14 @@
 """Components of all pairs that meet in a bucket and are near, without listing the pairs of large buckets.
 
-Buckets of at most ``FEW`` nodes compare all their pairs. In larger ones each node is first compared with the one
-before it and the first, which joins most of what belongs together. Nodes that large buckets bring together, in however
-many of them, are a crowd. Crowds that then still hold several components are compared in full, once: those outside a
-crowd's largest component meet each other and all of it, dealt out in blocks of about ``BLOCK`` nodes, and a kernel
-compares the pairs of a block whose ends are in different components. Its links number at most the nodes of the block,
-so rows don't grow with the pairs, and no pair that meets is left out unless its ends are linked already. Crowds of more
-than ``CROWD`` nodes, which buckets may chain together, are compared by bucket instead.
-
-A caller lists ``first_pairs``, checks them, and passes the links found to ``roots``.
+Buckets of at most ``FEW`` nodes compare all their pairs. Nodes that larger ones bring together, in however many of
+them, are a crowd. In a crowd each node is first compared with the one before it and the first. Crowds that then still
+hold several components are compared in full, once: those outside a crowd's largest component meet each other and all
+of it, dealt out in blocks of about ``BLOCK`` nodes, and a kernel compares the pairs of a block whose ends are in
+different components. Its links number at most the nodes of the block, so rows don't grow with the pairs, and no pair
+that meets is left out unless its ends are linked already. Crowds of more than ``CROWD`` nodes, which buckets may chain
+together, are compared by bucket instead.
+
+A caller lists ``first_pairs`` of ``small`` buckets and of ``groups``, checks them, and passes the links to ``roots``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import forget, materialise
+from ._common import drop_scratch, forget, materialise
 from .components import components
 
 FEW, BLOCK, CROWD, SALTED, AT_ONCE = 8, 256, 20_000, 1024, 64
@@ -29,9 +29,31 @@ FEW, BLOCK, CROWD, SALTED, AT_ONCE = 8, 256, 20_000, 1024, 64
 Kernel = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
 
 
-def large(met: DataFrame) -> DataFrame:
-    """Those of ``met`` whose bucket's pairs aren't all among the first ones."""
-    return met.where(F.col("n") > FEW)
+def small(met: DataFrame) -> DataFrame:
+    """Those of ``met`` (bucket, node, n) whose bucket's pairs are all among the first ones."""
+    return met.where(F.col("n") <= FEW)
+
+
+def groups(met: DataFrame, most: int = CROWD) -> DataFrame:
+    """``bucket, node, n``: the crowds that larger buckets make, or the buckets themselves of too large crowds.
+
+    A crowd is named by its least node: each round a bucket takes the least name among its nodes, and a node that of
+    its buckets, until none changes; rounds number as the steps from one end of a crowd to the other.
+    """
+    crowded = met.where(F.col("n") > FEW).select("bucket", "node", "n")
+    state = materialise(crowded.withColumn("name", F.col("node")), "crowds")
+    while True:
+        least = state.select("bucket", "node", "n", "name", F.min("name").over(Window.partitionBy("bucket")).alias("low"))
+        after = materialise(least.select("bucket", "node", "n", "name", F.min("low").over(Window.partitionBy("node")).alias("next")), "crowds")
+        drop_scratch(state)
+        state = after.select("bucket", "node", "n", F.col("next").alias("name"))
+        if not after.where("next < name").head(1):
+            break
+    members = state.groupBy("name", "node").agg(F.count("*").alias("buckets")).select("name", "node")
+    sized = materialise(members.withColumn("size", F.count("*").over(Window.partitionBy("name"))), "members")
+    out = sized.where(F.col("size") <= most).select(F.col("name").alias("bucket"), "node", F.col("size").alias("n"))
+    huge = sized.where(F.col("size") > most).select("node")
+    return out.unionByName(crowded.join(huge, "node").select("bucket", "node", "n")) if huge.head(1) else out
 
 
 def first_pairs(met: DataFrame, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -52,31 +74,19 @@ def first_pairs(met: DataFrame, near: Callable[[Column, Column], Column] | None
     return pairs.select("node", F.col("e.node").alias("before")).distinct()
 
 
-def roots(met: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Kernel, crowd: int = CROWD) -> DataFrame:
-    """``node, root`` for nodes of ``met`` that are linked: by ``found`` (a, b), links among the first pairs, or in
-    large buckets by ``kernel`` over ``payloads`` (node, payload; all nodes of large buckets have one)."""
+def roots(grouped: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
+    """``node, root`` for nodes that are linked: by ``found`` (a, b), links among the first pairs, or in ``grouped``
+    (from ``groups``) by ``kernel`` over ``payloads`` (node, payload; all nodes of groups have one)."""
     found = materialise(found, "first-links")
-    first, crowded = components(found), large(met)
-    if not crowded.head(1):
+    first = components(found)
+    if not grouped.head(1):
         return first
-    more = materialise(_rest(_groups(crowded, crowd), first, payloads, kernel), "rest-links")
+    more = materialise(_rest(grouped, first, payloads, kernel), "rest-links")
     return components(found.unionByName(more)) if more.head(1) else first
 
 
-def _groups(crowded: DataFrame, most: int) -> DataFrame:
-    """``bucket, node``: the crowds, or the buckets of too large ones."""
-    pairs = first_pairs(crowded).select(F.col("before").alias("a"), F.col("node").alias("b"))
-    members = components(pairs).select(F.col("root").alias("bucket"), "node")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    huge = materialise(sizes.where(F.col("n") > most).select("bucket"), "huge")
-    if not huge.head(1):
-        return members
-    nodes = members.join(huge, "bucket").select("node")
-    return members.join(huge, "bucket", "left_anti").unionByName(crowded.select("bucket", "node").join(nodes, "node").select("bucket", "node"))
-
-
-def _rest(groups: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
-    placed = groups.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+def _rest(grouped: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
+    placed = grouped.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     placed = materialise(placed, "placed")
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     split = parts.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")

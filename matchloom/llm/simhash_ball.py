@@ -178,13 +178,15 @@ def near_texts(
     met = meetings(nodes, tables, bits)
     p, q = nodes.select("node", F.col("prints").alias("p")), nodes.select(F.col("node").alias("before"), F.col("prints").alias("q"))
     flips = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = meet.first_pairs(met).join(p, "node").join(q, "before").where(flips <= int(apart * 64 * prints)).select("node", "before")
+    grouped = meet.groups(met)
+    pairs = meet.first_pairs(meet.small(met)).unionByName(meet.first_pairs(grouped)).distinct()
+    near = pairs.join(p, "node").join(q, "before").where(flips <= int(apart * 64 * prints)).select("node", "before")
     near = materialise(near, "pairs")
-    asked = near.select("node").unionByName(near.select(F.col("before").alias("node"))).unionByName(meet.large(met).select("node")).distinct()
+    asked = near.select("node").unionByName(near.select(F.col("before").alias("node"))).unionByName(grouped.select("node")).distinct()
     sets = materialise(likeness.shingle_sets(_with_texts(docs, nodes.join(asked, "node"), broadcast_rows), words), "sets")
     a, b = sets.select("node", F.col("payload").alias("p")), sets.select(F.col("node").alias("before"), F.col("payload").alias("q"))
     found = near.join(a, "node").join(b, "before").where(likeness.alike(F.col("p"), F.col("q"), least))
-    roots = meet.roots(met, found.select(F.col("before").alias("a"), F.col("node").alias("b")), sets, likeness.kernel(least))
+    roots = meet.roots(grouped, found.select(F.col("before").alias("a"), F.col("node").alias("b")), sets, likeness.kernel(least))
     return rows.join(_named(nodes, roots), "node").select("doc_id", "text_hash", "component_id", "class")
 
 

@@ -50,11 +50,13 @@ def test_large_buckets_are_compared_in_full(spark):
     payload = spark.createDataFrame([(order[i], [x % (1 << 62) for x in s]) for i, s in sets.items()], "node long, payload array<long>")
     met = payload.selectExpr("bigint(7) as bucket", "node", "bigint(700) as n").unionByName(payload.selectExpr("bigint(8) as bucket", "node", "bigint(700) as n"))
     a, b = payload.selectExpr("node", "payload as p"), payload.selectExpr("node as before", "payload as q")
-    found = meet.first_pairs(met).join(a, "node").join(b, "before")
+    grouped = meet.groups(met)
+    assert grouped.select("bucket").distinct().count() == 1 and grouped.count() == 700
+    found = meet.first_pairs(grouped).join(a, "node").join(b, "before")
     found = found.where(likeness.alike(found["p"], found["q"], 0.8)).selectExpr("before as a", "node as b")
     assert found.count() < 349
-    root = {r["node"]: r["root"] for r in meet.roots(met, found, payload, likeness.kernel(0.8)).collect()}
-    by_bucket = {r["node"]: r["root"] for r in meet.roots(met, found, payload, likeness.kernel(0.8), crowd=100).collect()}
+    root = {r["node"]: r["root"] for r in meet.roots(grouped, found, payload, likeness.kernel(0.8)).collect()}
+    by_bucket = {r["node"]: r["root"] for r in meet.roots(meet.groups(met, 100), found, payload, likeness.kernel(0.8)).collect()}
     assert root == by_bucket
     held = [{x % (1 << 62) for x in sets[i]} for i in range(700)]
     alike = np.array([[len(p & q) / len(p | q) >= 0.8 for q in held] for p in held])
