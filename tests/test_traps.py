@@ -151,6 +151,15 @@ def test_spells_of_one_day_and_id_have_one_order(spark):
         assert [tuple(r) for r in chemistry.teammate_onset(spells).collect()] == [(1, 2, D(2000, 6, 1))]
 
 
+def test_chemistry_of_tied_spells(spark):
+    rows = [(1, D(2000, 1, 1), 5, "C"), (1, D(2000, 1, 1), 5, "Retired"), (2, D(2000, 6, 1), 5, "C"), (3, D(2000, 6, 1), 6, "D")]
+    squad = spark.createDataFrame([("A", D(2001, 1, 1), i) for i in (1, 2, 3)], "country string, date date, player_id long")
+    for given in (rows, rows[::-1]):
+        transfers = spark.createDataFrame(given, "player_id long, transfer_date date, to_team_id long, to_team_name string").coalesce(1)
+        chem = chemistry.chemistry(squad, chemistry.teammate_onset(chemistry.club_spells(transfers)), 3)
+        assert [round(r["chem"], 6) for r in chem.collect()] == [0.333333]
+
+
 def test_form_defaults_and_window(spark):
     m = matches(spark, [(i, D(2020, 1, 1), "a", f"b{i}", i, 0, "t", True) for i in range(4)])
     from matchloom.operators.features import add_form
