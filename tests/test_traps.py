@@ -160,6 +160,13 @@ def test_chemistry_of_tied_spells(spark):
         assert [round(r["chem"], 6) for r in chem.collect()] == [0.333333]
 
 
+def test_onset_of_tied_spells(spark):
+    rows = [(1, D(2000, 1, 1), 5, None), (1, D(2000, 1, 1), 5, "Ban"), (1, D(2000, 9, 1), 7, "E"), (2, D(2000, 3, 1), 5, "C"), (2, D(2000, 3, 1), 5, "---"), (2, D(2000, 4, 1), 6, "D")]
+    for given in (rows, rows[::-1]):
+        transfers = spark.createDataFrame(given, "player_id long, transfer_date date, to_team_id long, to_team_name string").coalesce(1)
+        assert [tuple(r) for r in chemistry.teammate_onset(chemistry.club_spells(transfers)).collect()] == [(1, 2, D(2000, 3, 1))]
+
+
 def test_form_defaults_and_window(spark):
     m = matches(spark, [(i, D(2020, 1, 1), "a", f"b{i}", i, 0, "t", True) for i in range(4)])
     from matchloom.operators.features import add_form
