@@ -40,3 +40,14 @@ def test_lineups_are_valued_once_a_day(spark):
     assert {(r["match_id"] % 3, r["mv_home"], r["mv_away"]) for r in out.collect()} == {(0, 11175.0, None), (1, 11175.0, 8725.0), (2, 11175.0, None)}
     n, most = most_rows(out)
     assert n == 300 and most <= 1000  # 50,000 players of matches before
+
+
+def test_editions_are_valued_once_a_day(spark):
+    matches, values = one_day(spark)
+    values = values.union(values.selectExpr("player_id", "date'2000-01-03'", "1e6D"))  # too late
+    editions = spark.range(200).selectExpr("if(id < 150, 'A', 'B1') as country", "date'1999-06-01' as start", "date'2100-01-01' as end", "id as player_id")
+    out = squads.value_from_editions(matches, editions.union(editions.where("player_id < 2")), values)
+    assert {(r["match_id"] % 3, r["mv_home"], r["mv_away"]) for r in out.collect()} == {(0, 11176.0, None), (1, 11176.0, 8725.0), (2, 11176.0, None)}
+    n, most = most_rows(out)
+    assert n == 300 and most <= 1000
+    assert squads.value_from_editions(matches.limit(0), editions, values).count() == 0
