@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,48 +32,73 @@ def market_of(outcome: Column) -> Column:
     )
 
 
-def insider_share(inverse: Column, book: Column) -> Column:
-    """The root z of sum(p(z)) = 1 in (1e-9, 0.5) by bisection; null if the ends have one sign.
+def insider_roots(q: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """For each row of inverse prices ``q`` the root z of sum(p(z)) = 1 in (1e-9, 0.5) by bisection; NaN if the ends
+    have one sign.
 
     p(z) = (sqrt(z^2 + 4 (1 - z) q^2 / B) - z) / (2 (1 - z)) for each inverse price q of a book that sums to B.
     """
 
-    def excess(z: Column) -> Column:
-        terms = F.transform(inverse, lambda q: (F.sqrt(z * z + 4 * (1 - z) * q * q / book) - z) / (2 * (1 - z)))
-        return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) - 1
+    def excess(z: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(z))
+        for one in q.T:  # in the order of the prices
+            total = total + (np.sqrt(z * z + 4 * (1 - z) * one * one / book) - z) / (2 * (1 - z))
+        return total - 1
+
+    low, high = np.full(len(q), 1e-9), np.full(len(q), 0.5)
+    start, end = excess(low), excess(high)
+    rising = start < 0
+    for _ in range(HALVINGS):
+        mid = (low + high) / 2
+        left = (excess(mid) < 0) == rising
+        low, high = np.where(left, mid, low), np.where(left, high, mid)
+    return np.where(start * end <= 0, (low + high) / 2, np.nan)
 
-    low, high = F.lit(1e-9), F.lit(0.5)
-    start = F.struct(low.alias("a"), high.alias("b"))
-    rising = excess(low) < 0
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["a"] + s["b"]) / 2
-        left = (excess(mid) < 0) == rising
-        return F.struct(F.when(left, mid).otherwise(s["a"]).alias("a"), F.when(left, s["b"]).otherwise(mid).alias("b"))
+def insider_share(inverse: Column, book: Column) -> Column:
+    """``insider_roots`` of arrays of inverse prices, the books of one size side by side; null without a root."""
 
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
-    return F.when(excess(low) * excess(high) <= 0, root)
+    @F.arrow_udf("double")
+    def roots(lists: pa.Array, books: pa.Array) -> pa.Array:
+        sizes, flat = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        first, total, out = np.cumsum(sizes) - sizes, books.to_numpy(zero_copy_only=False), np.full(len(lists), np.nan)
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            out[at] = insider_roots(flat[first[at, None] + np.arange(n)], total[at])
+        return pa.array(out, mask=np.isnan(out))
 
+    return roots(inverse, book)
 
-def fair_book(odds: DataFrame, method: str = "shin") -> DataFrame:
-    """``odds`` (match_id, outcome, odds) plus ``market`` and ``fair_p``; prices of 1 or less have none."""
+
+def with_fair(rows: DataFrame, method: str = "shin") -> DataFrame:
+    """``rows`` (match_id, outcome, odds, ...) whose price is over 1, plus ``market`` and ``fair_p``.
+
+    A book is gathered with its rows and dealt out again, so rows are shuffled once, or not at all if they come
+    dealt by match.
+    """
     if method not in ("shin", "multiplicative"):
         raise ValueError(f"unknown method {method}")
-    rows = odds.withColumn("market", market_of(F.col("outcome")))
-    good = rows.where("odds > 1").withColumn("_q", 1 / F.col("odds"))
-    books = good.groupBy("match_id", "market").agg(F.array_sort(F.collect_list("_q")).alias("_qs"), F.count("*").alias("_n"))
-    books = books.withColumn("_b", F.aggregate("_qs", F.lit(0.0), lambda a, q: a + q))
-    books = books.withColumn("_z", insider_share(F.col("_qs"), F.col("_b")) if method == "shin" else F.lit(None).cast("double")).drop("_qs")
+    good = rows.withColumn("market", market_of(F.col("outcome"))).where("odds > 1 and match_id is not null and market is not null")
+    rest = [c for c in rows.columns if c != "match_id"]
+    books = good.groupBy("match_id", "market").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    books = books.withColumn("_qs", F.array_sort(F.transform("_rows", lambda r: 1 / r["odds"])))
+    books = books.withColumn("_n", F.size("_rows")).withColumn("_b", F.aggregate("_qs", F.lit(0.0), lambda a, q: a + q))
+    books = books.withColumn("_z", insider_share(F.col("_qs"), F.col("_b")) if method == "shin" else F.lit(None).cast("double"))
+    dealt = books.select("match_id", "market", "_n", "_b", "_z", F.inline("_rows")).withColumn("_q", 1 / F.col("odds"))
     z, q, b = F.col("_z"), F.col("_q"), F.col("_b")
     fair = F.when((F.col("_n") < 2) | z.isNull(), q / b).otherwise((F.sqrt(z * z + 4 * (1 - z) * q * q / b) - z) / (2 * (1 - z)))
-    return good.join(books, ["match_id", "market"]).select("match_id", "outcome", "odds", "market", fair.alias("fair_p"))
+    return dealt.select("match_id", *rest, "market", fair.alias("fair_p"))
+
+
+def fair_book(odds: DataFrame, method: str = "shin") -> DataFrame:
+    """``odds`` (match_id, outcome, odds) plus ``market`` and ``fair_p``; prices of 1 or less have none."""
+    return with_fair(odds.select("match_id", "outcome", "odds"), method)
 
 
 def find_bets(priced: DataFrame, kelly: float = 0.25, edge: float = 0.03, devig: str = "shin") -> DataFrame:
     """Bets of ``priced`` (match_id, outcome, odds, p[, push]) whose edge reaches the threshold."""
     push = F.coalesce(F.col("push"), F.lit(0.0)) if "push" in priced.columns else F.lit(0.0)
-    fair = fair_book(priced.select("match_id", "outcome", "odds"), devig).drop("odds", "market")
-    rows = priced.where("odds > 1 and p is not null").withColumn("push", push).join(fair, ["match_id", "outcome"])
+    rows = with_fair(priced.select("match_id", "outcome", "odds", "p", push.alias("push")), devig).where("p is not null")
     rows = rows.withColumn("edge", F.col("p") * F.col("odds") - (1 - F.col("push"))).where(F.col("edge") >= edge)
     full = F.greatest(F.col("edge") / (F.col("odds") - 1), F.lit(0.0))
     return rows.select(

@@ -3,7 +3,7 @@
 import datetime as dt
 import math
 
-from matchloom.operators import markets, squads
+from matchloom.operators import betting, markets, squads
 
 D = dt.date
 
@@ -76,3 +76,21 @@ def test_reconciled_markets_make_no_row_for_each_score(spark, small):
 
     n, most = most_rows(catalog.reconciled_markets(spark, small))
     assert most <= 2 * n  # 121 rows a match and outcome before
+
+
+def test_books_are_solved_side_by_side(spark):
+    books = [(2.1, 3.3, 4.2), (5.0, 6.0), (1.5, 2.9), (3.0,), (1.2, 8.0, 15.0, 21.0)]
+    odds = spark.createDataFrame([(i, f"hcap_{k}_1", o) for i, b in enumerate(books) for k, o in enumerate(b)] + [(9, "draw", 1.0), (None, "draw", 2.0), (9, None, 2.0)], "match_id long, outcome string, odds double")
+    p = {}
+    for r in betting.fair_book(odds).collect():
+        p.setdefault(r["match_id"], []).append(r["fair_p"])
+    assert {i: len(v) for i, v in p.items()} == {i: len(b) for i, b in enumerate(books)}
+    over = [i for i, b in enumerate(books) if len(b) > 1 and sum(1 / o for o in b) > 1]
+    assert over == [0, 2, 4] and all(math.isclose(sum(p[i]), 1.0, abs_tol=1e-9) for i in over)
+    assert all(math.isclose(sum(p[i]), 1.0, abs_tol=1e-12) for i in (1, 3))  # no root: in proportion
+
+
+def test_bets_take_no_row_for_each_score(spark, small):
+    from matchloom.plans import catalog
+
+    assert most_rows(catalog.value_bets(spark, small))[1] <= 11 * 1500
