@@ -119,9 +119,9 @@ def find_bets(priced: DataFrame, kelly: float = 0.25, edge: float = 0.03, devig:
 def build_portfolio(bets: DataFrame, bankroll: float = 1000.0, max_per_bet: float = 0.2, max_exposure: float = 0.7) -> DataFrame:
     """Stakes clipped one by one, then scaled together to the exposure cap; money to the cent, half to even."""
     clipped = bets.withColumn("stake", F.least("stake", F.lit(max_per_bet)))
-    total = clipped.agg(F.sum("stake").alias("_total"))  # one row
-    scale = F.when(F.col("_total") > max_exposure, F.lit(max_exposure) / F.col("_total")).otherwise(1.0)
-    scaled = clipped.crossJoin(F.broadcast(total)).withColumn("stake", F.col("stake") * scale).drop("_total")
+    total = clipped.agg(F.sum("stake")).scalar()  # a subquery, since a broadcast fails if its input takes over 300 s
+    scale = F.when(total > max_exposure, F.lit(max_exposure) / total).otherwise(1.0)
+    scaled = clipped.withColumn("stake", F.col("stake") * scale)
     return scaled.withColumn("stake_eur", F.bround(F.col("stake") * bankroll, 2)).withColumn("exp_profit_eur", F.bround(F.col("stake") * bankroll * F.col("edge"), 2))
 
 

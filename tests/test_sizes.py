@@ -94,3 +94,12 @@ def test_bets_take_no_row_for_each_score(spark, small):
     from matchloom.plans import catalog
 
     assert most_rows(catalog.value_bets(spark, small))[1] <= 11 * 1500
+
+
+def test_total_stake_is_not_broadcast(spark, small):
+    from matchloom.plans import catalog
+
+    bets = betting.find_bets(spark.createDataFrame([(i, "draw", 3.0, 0.6) for i in range(9)], "match_id long, outcome string, odds double, p double"), 0.5, 0.05)
+    folio = betting.build_portfolio(bets)
+    assert math.isclose(sum(r["stake"] for r in folio.collect()), 0.7)
+    assert "Broadcast" not in folio._jdf.queryExecution().executedPlan().toString()  # limited to 300 s
