@@ -103,3 +103,10 @@ def test_total_stake_is_not_broadcast(spark, small):
     folio = betting.build_portfolio(bets)
     assert math.isclose(sum(r["stake"] for r in folio.collect()), 0.7)
     assert "Broadcast" not in folio._jdf.queryExecution().executedPlan().toString()  # limited to 300 s
+
+
+def test_totals_of_a_portfolio_are_not_broadcast(spark):
+    bets = betting.find_bets(spark.createDataFrame([(i, "draw", 3.0, 0.6) for i in range(9)], "match_id long, outcome string, odds double, p double"), 0.5, 0.05)
+    totals = betting.portfolio_totals(betting.build_portfolio(bets))
+    assert [(r["n_bets"], round(r["stake_eur"], 2)) for r in totals.collect()] == [(9, 700.02)]
+    assert "Broadcast" not in totals._jdf.queryExecution().executedPlan().toString()
