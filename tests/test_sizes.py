@@ -112,6 +112,29 @@ def test_totals_of_a_portfolio_are_not_broadcast(spark):
     assert "Broadcast" not in totals._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scorelines_of_the_goals_model_make_no_rows(spark):
+    from pyspark.sql import functions as F
+
+    from matchloom.plans import pipeline
+
+    teams = [(k, t, kind, v) for k in (0, 1) for t, one in (("A", 0.3), ("B", -0.2 + k)) for kind, v in (("att", one), ("def", -one / 2))]
+    scalars = [(k, n, "scalar", v) for k in (0, 1) for n, v in (("base", 0.1), ("home", 0.2 + k / 10), ("rho", -0.1))]
+    fitted = spark.createDataFrame(teams + scalars, "fold int, name string, kind string, value double")
+    sides = [("A", "B"), ("B", "A"), ("A", "new")]
+    rows = spark.createDataFrame([(i % 2, i, *sides[i % 3], i % 4 == 0) for i in range(200)], "fold int, match_id long, home_team string, away_team string, neutral boolean")
+    out = pipeline.goals_proba(rows, fitted)
+    got = {r["match_id"]: r["proba"] for r in out.collect()}
+    n, most = most_rows(out)
+    assert n == len(got) == 200 and most <= 400  # 121 a match before
+    strength = {(k, t, kind): v for k, t, kind, v in teams}
+    for fold in (0, 1):
+        mine = rows.where(F.col("fold") == fold)
+        named = [(t, strength[fold, t, "att"], strength[fold, t, "def"]) for t in ("A", "B")]
+        rates = markets.match_rates(mine, spark.createDataFrame(named, "team string, att double, dfn double"), {"base": 0.1, "home": 0.2 + fold / 10})
+        for r in markets.one_x_two(markets.score_matrix(rates, -0.1)).collect():
+            assert all(math.isclose(g, w, abs_tol=1e-12) for g, w in zip(got[r["match_id"]], (r["home_win"], r["draw"], r["away_win"])))
+
+
 def some_features(spark, n=900):
     return spark.range(n).selectExpr(
         *("id as match_id", "date_add(date'2000-01-01', cast(id as int))", "concat('t', id % 5)", "concat('t', (id + 1 + id % 3) % 5)"),
