@@ -26,3 +26,20 @@ def test_scratch_folder_is_the_shared_one():
     for master in ("yarn", "spark://x", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError):
             _common.scratch_root(Session(master))
+
+
+def test_shuffles_go_with_their_query(spark):
+    import time
+
+    from matchloom.llm._common import materialise, shuffles_freed
+
+    kept = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    told, before = spark.conf.get(name, None), kept()
+    with shuffles_freed(spark):
+        assert materialise(spark.range(1000).repartition(3, "id"), "freed").count() == 1000
+    end = time.time() + 10
+    while kept() > before and time.time() < end:
+        time.sleep(0.2)
+    assert kept() <= before  # files of the shuffle stayed before
+    assert spark.conf.get(name, None) == told
