@@ -34,14 +34,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Tables whose rows are counted before are written in so many parts, and one more for each so many rows.
+LEAST_PARTS, PART_ROWS = 8, 20_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet under the shared folder and read it back.
 
     A written table survives lost executors and is computed once, where ``checkpoint()`` computes its plan twice.
+    Where ``rows``, the most that it can have, is told, small tables have few parts, however many the shuffle before
+    them has: each file costs the executor some forks, and rounds write many.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    (df if rows is None else df.coalesce(LEAST_PARTS + rows // PART_ROWS)).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
