@@ -21,22 +21,24 @@ def components(links: DataFrame) -> DataFrame:
     """
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = materialise(ordered(links), "links")
-    roots = None
-    while left.count():
+    roots, size = None, 0
+    while count := left.count():
+        ends = 2 * count
+        size = size or ends
         near = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(
             left.select(F.col("a").alias("node"), F.col("a").alias("to"))
         )
-        hooks = materialise(near.groupBy("node").agg(F.min("to").alias("to")), "hooks")
+        hooks = materialise(near.groupBy("node").agg(F.min("to").alias("to")), "hooks", ends)
         onward = hooks.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        jumped = materialise(hooks.join(onward, "to").select("node", "root"), "jumped")
+        jumped = materialise(hooks.join(onward, "to").select("node", "root"), "jumped", ends)
         a = jumped.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = jumped.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        after = materialise(ordered(left.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links")
+        after = materialise(ordered(left.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links", count)
         if roots is None:
             grown = jumped
         else:
             step = jumped.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            grown = materialise(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            grown = materialise(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots", size)
             drop_scratch(roots)
             drop_scratch(jumped)
         drop_scratch(left)

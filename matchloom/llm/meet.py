@@ -41,16 +41,17 @@ def groups(met: DataFrame, most: int = CROWD) -> DataFrame:
     its buckets, until none changes; rounds number as the steps from one end of a crowd to the other.
     """
     crowded = met.where(F.col("n") > FEW).select("bucket", "node", "n")
-    state = materialise(crowded.withColumn("name", F.col("node")), "crowds")
+    count = crowded.count()
+    state = materialise(crowded.withColumn("name", F.col("node")), "crowds", count)
     while True:
         least = state.select("bucket", "node", "n", "name", F.min("name").over(Window.partitionBy("bucket")).alias("low"))
-        after = materialise(least.select("bucket", "node", "n", "name", F.min("low").over(Window.partitionBy("node")).alias("next")), "crowds")
+        after = materialise(least.select("bucket", "node", "n", "name", F.min("low").over(Window.partitionBy("node")).alias("next")), "crowds", count)
         drop_scratch(state)
         state = after.select("bucket", "node", "n", F.col("next").alias("name"))
         if not after.where("next < name").head(1):
             break
     members = state.groupBy("name", "node").agg(F.count("*").alias("buckets")).select("name", "node")
-    sized = materialise(members.withColumn("size", F.count("*").over(Window.partitionBy("name"))), "members")
+    sized = materialise(members.withColumn("size", F.count("*").over(Window.partitionBy("name"))), "members", count)
     out = sized.where(F.col("size") <= most).select(F.col("name").alias("bucket"), "node", F.col("size").alias("n"))
     huge = sized.where(F.col("size") > most).select("node")
     return out.unionByName(crowded.join(huge, "node").select("bucket", "node", "n")) if huge.head(1) else out
@@ -87,7 +88,7 @@ def roots(grouped: DataFrame, found: DataFrame, payloads: DataFrame, kernel: Ker
 
 def _rest(grouped: DataFrame, known: DataFrame, payloads: DataFrame, kernel: Kernel) -> DataFrame:
     placed = grouped.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed, "placed")
+    placed = materialise(placed, "placed", grouped.count())
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     split = parts.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     split = split.select("bucket", "main", F.ceil((F.col("n") - F.col("k")) / BLOCK).alias("strays"), F.ceil(F.col("k") / BLOCK).alias("mains"))

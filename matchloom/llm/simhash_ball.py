@@ -93,14 +93,14 @@ def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """``node, component_id, class`` for ``nodes`` (node, first): the least id, and the component's own name."""
     linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("class"))
     least = linked.groupBy("class").agg(F.min("first").alias("component_id"))
-    return materialise(linked.join(least, "class").select("node", "component_id", "class"), "classes")
+    return materialise(linked.join(least, "class").select("node", "component_id", "class"), "classes", nodes.count())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, text_hash, node, component_id, class``, a row for each of ``docs``: fingerprints within 2 bits are
     linked. The class is the component's own name, which ids that repeat across texts don't share."""
     rows = materialise(fingerprints(docs, words), "prints")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes", rows.count())
     return rows.join(_named(nodes, components(links(nodes.select("node")))), "node")
 
 
@@ -150,9 +150,9 @@ def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = BITS) -> DataFr
     return materialise(met.select((F.col("place") * (1 << low) + F.col("end")).alias("bucket"), "node", "n"), "met")
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``node, text``: one text of ``docs`` for each of ``wanted`` (node, one: its id and text hash)."""
-    asked = materialise(wanted.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")), "wanted")
+def _with_texts(docs: DataFrame, wanted: DataFrame, wanted_rows: int, broadcast_rows: int) -> DataFrame:
+    """``node, text``: one text of ``docs`` for each of ``wanted`` (node, one: its id and text hash), of ``wanted_rows`` at most."""
+    asked = materialise(wanted.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")), "wanted", wanted_rows)
     asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
     slim = _slim(docs)
     found = slim.join(asked, slim["doc_id"].eqNullSafe(asked["_id"]) & (slim["text_hash"] == asked["_hash"]))
@@ -174,7 +174,7 @@ def near_texts(
     prints = -(-tables // (64 // bits))
     rows = materialise(sketches(docs, words, features, prints), "sketches")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("prints").alias("prints")), "nodes")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("prints").alias("prints")), "nodes", rows.count())
     met = meetings(nodes, tables, bits)
     p, q = nodes.select("node", F.col("prints").alias("p")), nodes.select(F.col("node").alias("before"), F.col("prints").alias("q"))
     flips = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -183,7 +183,8 @@ def near_texts(
     near = pairs.join(p, "node").join(q, "before").where(flips <= int(apart * 64 * prints)).select("node", "before")
     near = materialise(near, "pairs")
     asked = near.select("node").unionByName(near.select(F.col("before").alias("node"))).unionByName(grouped.select("node")).distinct()
-    sets = materialise(likeness.shingle_sets(_with_texts(docs, nodes.join(asked, "node"), broadcast_rows), words), "sets")
+    texts = _with_texts(docs, nodes.join(asked, "node"), 2 * near.count() + grouped.count(), broadcast_rows)
+    sets = materialise(likeness.shingle_sets(texts, words), "sets")
     a, b = sets.select("node", F.col("payload").alias("p")), sets.select(F.col("node").alias("before"), F.col("payload").alias("q"))
     found = near.join(a, "node").join(b, "before").where(likeness.alike(F.col("p"), F.col("q"), least))
     roots = meet.roots(grouped, found.select(F.col("before").alias("a"), F.col("node").alias("b")), sets, likeness.kernel(least))
@@ -202,7 +203,7 @@ def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, find: Callab
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("keep")
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
     judged = seen.join(seen.groupBy("class").agg(least), "class").select(F.struct("doc_id", "text_hash", stays.alias("stays"), "n").alias("told"))
-    marked = materialise(judged.where("not told.stays or told.n > 1"), "marked")
+    marked = materialise(judged.where("not told.stays or told.n > 1"), "marked", seen.count())
     told = F.broadcast(marked) if marked.count() <= broadcast_rows else marked
     # the documents travel as one column, so that theirs can have any names
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))

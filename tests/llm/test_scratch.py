@@ -43,3 +43,24 @@ def test_shuffles_go_with_their_query(spark):
         time.sleep(0.2)
     assert kept() <= before  # files of the shuffle stayed before
     assert spark.conf.get(name, None) == told
+
+
+def test_small_tables_are_written_in_few_parts(spark):
+    """A round's table of some hundred rows was a file for each shuffle partition."""
+    from matchloom.llm import meet
+    from matchloom.llm.components import components
+
+    names = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        roots = components(spark.range(300).selectExpr("2 * id as a", "2 * id + 1 as b"))
+        met = spark.range(600).selectExpr("id div 20 as bucket", "id as node", "20L as n")
+        grouped = meet.groups(met)
+        assert roots.count() == 600 and grouped.count() == 600 and grouped.select("bucket").distinct().count() == 30
+        assert max(len(roots.inputFiles()), len(grouped.inputFiles())) <= _common.LEAST_PARTS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert _common.materialise(spark.range(100_000, numPartitions=30), "many", 100_000).rdd.getNumPartitions() > 1
